@@ -4,20 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, line_dedup, simhash, token_files, url_filter
+from waymark.llm import decontaminate, language, line_dedup, quality, simhash, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``: tells training rows from held-out ones."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(_fold("doc_id", 5) != 0), "quality")
+    found = quality.scored(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    known = labels.filter(_fold("doc_id", 5) != 0).filter("toxic in (0, 1)")
+    prior = known.agg(F.avg("toxic")).first()[0] or 0.0
+    model = toxicity.fit(docs.filter(_fold("doc_id", 5) != 0), known.filter("toxic = 1"), prior)
+    found = toxicity.scored(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_fold("doc_id", 4) != 2))
+    found = language.identified(docs, model).withColumnsRenamed({"id": "doc_id", "lang": "lang_pred"})
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "margin", "rejected")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id").drop("matches")
@@ -44,7 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_toxicity": op2_toxicity,
         "op4_url_filter": op4_url_filter,
+        "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
         "op8_simhash": op8_simhash,
         "op9_token_files": op9_token_files,
