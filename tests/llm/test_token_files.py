@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, id string")
     assert read_back(spark, docs) == brute(rows)
     assert read_back(spark, docs.limit(0)) == []
+
+
+def test_pieces_are_encoded_as_whole_texts():
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    parts = ["a", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u2003", "é", "日本", "'s", "don't", "12", "!?", "\r", "<|endoftext|>", "word", "\x00", "\u3000", "\u0085", "ß"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(4000)]
+    found = token_files.Encoder(tokenizer_path("byte_bpe_50k.json"), most_kept=3000).encode([t.encode() for t in texts])
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)

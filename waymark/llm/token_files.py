@@ -18,7 +18,8 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,6 @@ from waymark.llm.shared import id_and_text, staged, staged_path, text_slices, to
 MAGIC = b"WMTOKIDS"
 TRAILER = struct.Struct("<8sIIIqqq")
 BLOCK = 4096
-LONG_TEXT = 1 << 20
 
 
 def bits_for(vocab_size: int) -> int:
@@ -145,42 +145,93 @@ class TokenFile:
             k = upto
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A very long text in parts that a byte-level pre-tokenizer never joins: cut before a single space that
-    stands between two ASCII letters."""
-    at = 0
-    while len(text) - at > LONG_TEXT:
-        cut = at + LONG_TEXT
-        while cut < len(text) - 1 and not (
-            text[cut] == " " and text[cut - 1].isascii() and text[cut - 1].isalpha() and text[cut + 1].isascii() and text[cut + 1].isalpha()
-        ):
-            cut += 1
-        if cut >= len(text) - 1:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+_NONSPACE = np.zeros(256, bool)
+_NONSPACE[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = _NONSPACE & ~_LETTER
+_SIGN[48:58] = False
+_SIGN[ord("|")] = _SIGN[ord("<")] = _SIGN[ord(">")] = False  # of names of special tokens
+_AFTER_SPACE = _NONSPACE.copy()
+_AFTER_SPACE[0xC3:] = True  # lead bytes of characters that can't be white space
+_AFTER_SPACE[[0xE1, 0xE2, 0xE3]] = False
 
 
-def bpe_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Batches of texts to ids with the tokenizers library; long texts in parts, so that memory stays bounded."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def pieces(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut where a byte-level pre-tokenizer begins a token in any case, and each text's number of pieces.
 
-    tokenizer = Tokenizer.from_file(path)
+    It does so at a space before something visible, at a sign behind a letter, at a line break behind something
+    visible, and behind such a line break if something visible follows; so pieces can be encoded one by one.
+    """
+    joined = b"\0".join([*texts, b""])
+    buf = np.frombuffer(joined, np.uint8)
+    n = len(buf)
+    starts = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    starts = np.r_[0, starts]
+    cut = np.zeros(n + 1, bool)
+    shown = _NONSPACE[buf]
+    cut[: n - 1] |= (buf[:-1] == 32) & _AFTER_SPACE[buf[1:]]
+    cut[1:n] |= _LETTER[buf[:-1]] & _SIGN[buf[1:]]
+    ends_line = (buf[1:] == 10) & shown[:-1]
+    cut[1:n] |= ends_line
+    cut[2:n] |= ends_line[:-1] & shown[2:]
+    cut[starts] = True
+    inside = np.ones(n, bool)
+    inside[starts[1:] - 1] = False  # the separators
+    at = np.flatnonzero(cut)
+    doc = np.searchsorted(starts, at, "right") - 1
+    begin = at - doc
+    begin[-1] = n - len(texts)
+    real = np.flatnonzero(np.diff(begin) > 0)
+    offsets = np.ascontiguousarray(np.append(begin[real], begin[-1]))
+    found = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(real), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]
+    )
+    return found, np.bincount(doc[real], minlength=len(texts))
+
+
+class Encoder:
+    """Batches of texts to ids with the tokenizers library. Distinct pieces are encoded once and kept, up to a bound."""
+
+    def __init__(self, path: str, most_kept: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
+        self.kept: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found, counts = pieces(texts)
+        coded = found.dictionary_encode()
+        names, kept = coded.dictionary.to_pylist(), self.kept
+        if missing := [x for x in names if x not in kept]:
+            if len(kept) + len(missing) > self.most_kept:
+                kept.clear()
+                missing = names
+            for at in range(0, len(missing), 1000):
+                part = missing[at : at + 1000]
+                words = [x.decode("utf-8", "replace") for x in part]
+                for x, e in zip(part, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                    kept[x] = array("I", e.ids).tobytes()
+        each = [kept[x] for x in names]
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.uint32).astype("<u4", copy=False)
+        codes = coded.indices.to_numpy()
+        used = sizes[codes]
+        ends = np.cumsum(used)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - used), used) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.r_[0, ends][np.cumsum(counts)]
+        return np.split(ids, upto[:-1]) if len(texts) else []
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if any(len(t) > LONG_TEXT for t in texts):
-            return [
-                np.concatenate([np.array(tokenizer.encode(p, add_special_tokens=False).ids, "<u4") for p in _pieces(t)])
-                for t in texts
-            ]
-        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return encode
+_ENCODERS: dict[str, Encoder] = {}
 
 
-_ENCODERS: dict[str, Callable[[list[str]], list[np.ndarray]]] = {}
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker and file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_token_files(
@@ -203,16 +254,15 @@ def write_token_files(
     path, folder = tokenizer_path(tokenizer), folder or staged_path(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.setdefault(path, bpe_encoder(path))
         shard, files = TaskContext.get().partitionId(), None
-        for ids, texts in text_slices(batches, 1 << 19):
+        for ids, texts in text_slices(batches):
             if files is None:
                 files, at = pafs.FileSystem.from_uri(folder)
                 files.create_dir(at, recursive=True)
                 at = f"{at}/{shard:06d}-{uuid.uuid4().hex}.ids"
                 sink = files.open_output_stream(at)
                 writer = TokenFileWriter(sink, vocab_size, block)
-            found = encode([t.decode("utf-8", "replace") for t in texts])
+            found = encoder(path).encode(texts)
             for doc_id, tokens in zip(ids.to_pylist(), found, strict=True):
                 writer.add(doc_id, np.append(tokens, np.array([end_id], "<u4")))
         if files is not None:
