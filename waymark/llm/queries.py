@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, line_dedup, quality, simhash, token_files, toxicity, url_filter
+from waymark.llm import decontaminate, language, line_dedup, quality, simhash, token_files, toxicity, unigram, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unigram.decoded(unigram.encoded(_table(spark, sf_dir, "documents")))
+    same = F.coalesce("decoded", F.lit("")) == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").alias("n_tokens"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip")
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -75,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_toxicity": op2_toxicity,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_url_filter": op4_url_filter,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,

@@ -190,29 +190,32 @@ def pieces(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return found, np.bincount(doc[real], minlength=len(texts))
 
 
-class Encoder:
-    """Batches of texts to ids with the tokenizers library. Distinct pieces are encoded once and kept, up to a bound."""
+class PieceEncoder:
+    """Batches of texts to ids, part by part. Distinct parts are encoded once and kept, up to a bound."""
 
-    def __init__(self, path: str, most_kept: int = 500_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most_kept = Tokenizer.from_file(path), most_kept
+    def __init__(self, most_kept: int = 500_000) -> None:
+        self.most_kept = most_kept
         self.kept: dict[bytes, bytes] = {}
 
+    def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts and each text's number of them."""
+        raise NotImplementedError
+
+    def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        found, counts = pieces(texts)
+        found, counts = self.cut(texts)
         coded = found.dictionary_encode()
         names, kept = coded.dictionary.to_pylist(), self.kept
         if missing := [x for x in names if x not in kept]:
             if len(kept) + len(missing) > self.most_kept:
                 kept.clear()
                 missing = names
-            for at in range(0, len(missing), 1000):
-                part = missing[at : at + 1000]
-                words = [x.decode("utf-8", "replace") for x in part]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                    kept[x] = array("I", e.ids).tobytes()
+            for at in range(0, len(missing), 1 << 14):
+                part = missing[at : at + (1 << 14)]
+                for x, ids in zip(part, self.encode_parts(part), strict=True):
+                    kept[x] = array("I", ids).tobytes()
         each = [kept[x] for x in names]
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.uint32).astype("<u4", copy=False)
@@ -224,6 +227,27 @@ class Encoder:
         return np.split(ids, upto[:-1]) if len(texts) else []
 
 
+class Encoder(PieceEncoder):
+    """Texts to ids with the tokenizers library."""
+
+    def __init__(self, path: str, most_kept: int = 500_000) -> None:
+        super().__init__(most_kept)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        return pieces(texts)
+
+    def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for at in range(0, len(parts), 1000):
+            words = [x.decode("utf-8", "replace") for x in parts[at : at + 1000]]
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
