@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, line_dedup, quality, simhash, token_files, toxicity, unigram, url_filter
+from waymark.llm import decontaminate, language, line_dedup, neighbours, quality, simhash, token_files, toxicity, unigram, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("matches")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = neighbours.build_index(_table(spark, sf_dir, "embeddings"))
+    if built is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, books = built
+    found = neighbours.search(index, books, index.filter("id % 50 = 0").select("id", "vector"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -87,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_language": op5_language,
         "op6_decontaminate": op6_decontaminate,
+        "op7_neighbours": op7_neighbours,
         "op8_simhash": op8_simhash,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
