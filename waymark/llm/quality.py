@@ -237,3 +237,20 @@ def scored(
             )
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are. Rows pass through one by one,
+    so that null ids and repeated rows are judged each; a null text is judged as an empty one."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["id", "text"])
+            start = 0
+            for _, part in text_slices(iter([texts])):
+                keep = model.probabilities(part) >= threshold
+                yield batch.slice(start, len(part)).filter(pa.array(keep))
+                start += len(part)
+
+    return docs.mapInArrow(run, docs.schema)

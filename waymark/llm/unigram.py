@@ -374,3 +374,31 @@ def decoded(tokens: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k
             )
 
     return tokens.mapInArrow(run, out.schema)
+
+
+def tokenised(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """``docs`` with the ids of its texts in ``ids_col`` and, as its text, what they decode to. A null text stays null
+    and has no ids. ``docs`` may not have ``ids_col`` yet."""
+    if ids_col in docs.columns:
+        raise ValueError(f"there is a column {ids_col}")
+    held, names = loaded(tokenizer_path(model)), docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(at)], names=["id", "text"])
+            start = 0
+            for _, texts in text_slices(iter([rows])):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                found = encoder(held).encode(texts)
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+                there = part.column(at).is_valid().to_pylist()
+                back = [held.decode(ids).decode("utf-8", "replace") if ok else None for ids, ok in zip(found, there, strict=True)]
+                columns = [pa.array(back, pa.string()) if k == at else c for k, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, ids_col])
+
+    schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema
+    return docs.mapInArrow(run, schema)
