@@ -78,7 +78,8 @@ def deduplicated(
     each = staged(each.select("id", "c.k", "c.h"), "line-chunks")
     # Partial aggregation leaves a row for each hash and task, however often a chunk is repeated.
     firsts = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    again = each.join(firsts.select("h", "first"), "h").groupBy("id")
+    firsts = staged(firsts.select("h", "first"), "line-firsts")  # a join of two shuffles, of which AQE splits hot hashes
+    again = each.join(firsts, "h").groupBy("id")
     again = again.agg(F.collect_set(F.struct("k", "h", F.col("first").eqNullSafe(place).alias("stays"))).alias("again"))
     again = again.withColumnRenamed("id", "__id")
     met = docs.join(again, key.eqNullSafe(F.col("__id")), "left").drop("__id").withColumnRenamed("again", "__again")
