@@ -36,11 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unigram.decoded(unigram.encoded(_table(spark, sf_dir, "documents")))
-    same = F.coalesce("decoded", F.lit("")) == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
-    return found.select(
-        F.col("id").alias("doc_id"), F.size("ids").alias("n_tokens"), "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip")
-    )
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("source_text"))
+    found = unigram.tokenised(docs, crc_col="ids_crc32")
+    same = F.coalesce("text", F.lit("")) == F.translate(F.coalesce("source_text", F.lit("")), "\u2581", " ")
+    return found.select("doc_id", F.size("token_ids").alias("n_tokens"), "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,7 +303,7 @@ def parts_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
 class UnigramEncoder(PieceEncoder):
     """Batches of texts to ids."""
 
-    def __init__(self, model: UnigramModel, most_kept: int = 500_000) -> None:
+    def __init__(self, model: UnigramModel, most_kept: int = 300_000) -> None:
         super().__init__(most_kept)
         self.model = model
 
@@ -376,11 +376,15 @@ def decoded(tokens: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k
     return tokens.mapInArrow(run, out.schema)
 
 
-def tokenised(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = "piece_bpe_32k.model") -> DataFrame:
+def tokenised(
+    docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", model: str = "piece_bpe_32k.model", crc_col: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of its texts in ``ids_col`` and, as its text, what they decode to. A null text stays null
-    and has no ids. ``docs`` may not have ``ids_col`` yet."""
-    if ids_col in docs.columns:
-        raise ValueError(f"there is a column {ids_col}")
+    and has no ids. ``crc_col`` adds the crc32 of the ids as little-endian 32-bit numbers. One pass does both ways, so
+    that an executor has one Python worker for each task. ``docs`` may not have the new columns yet."""
+    new = [ids_col, *([crc_col] if crc_col else [])]
+    if set(new) & set(docs.columns):
+        raise ValueError(f"there is a column {ids_col} or {crc_col}")
     held, names = loaded(tokenizer_path(model)), docs.columns
     at = names.index(text_col)
 
@@ -398,7 +402,9 @@ def tokenised(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids
                 there = part.column(at).is_valid().to_pylist()
                 back = [held.decode(ids).decode("utf-8", "replace") if ok else None for ids, ok in zip(found, there, strict=True)]
                 columns = [pa.array(back, pa.string()) if k == at else c for k, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays([*columns, lists], names=[*names, ids_col])
+                added = [lists, *([pa.array([zlib.crc32(ids.tobytes()) for ids in found], pa.int64())] if crc_col else [])]
+                yield pa.RecordBatch.from_arrays([*columns, *added], names=[*names, *new])
 
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema
+    kinds = [F.lit(None).cast(kind).alias(c) for c, kind in zip(new, ("array<int>", "long"), strict=False)]
+    schema = docs.select("*", *kinds).schema
     return docs.mapInArrow(run, schema)
