@@ -6,6 +6,9 @@ side is repeated into the cells around its own, and the join is an equi-join on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,3 +104,53 @@ def nearest(
         if left.isEmpty():
             break
     return done
+
+
+def covered_cells(points: DataFrame, radius: float, cell: float) -> DataFrame:
+    """Cells ``(cx, cy)`` whose centre lies within ``radius`` of one of ``points(x, y)``: the union of their circles,
+    to the accuracy of the cell."""
+    reach = F.sequence(F.lit(-int(radius // cell) - 1), F.lit(int(radius // cell) + 1))
+    near = points.select("x", "y", F.explode(reach).alias("dx")).select("x", "y", "dx", F.explode(reach).alias("dy"))
+    near = near.withColumns({"cx": _cell(F.col("x"), cell) + F.col("dx"), "cy": _cell(F.col("y"), cell) + F.col("dy")})
+    off = distance(F.col("x"), F.col("y"), (F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)
+    return near.filter(off <= radius).select("cx", "cy").distinct()
+
+
+def hull_area(points: DataFrame) -> DataFrame:
+    """``(hull)``: the area of the convex hull. Each task keeps its own hull's corners only; one more pass over
+    these gives the whole."""
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[float, float]] = []
+        for batch in batches:
+            held = hull([*held, *zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.float64()) for k in (0, 1)], names=["x", "y"])
+
+    found = points.select(F.col("x").cast("double"), F.col("y").cast("double")).dropna().mapInArrow(corners, "x double, y double")
+    whole = found.coalesce(1).mapInArrow(corners, "x double, y double").collect()
+    ring = [(r.x, r.y) for r in whole]
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True))) / 2
+    return points.sparkSession.createDataFrame([(area,)], "hull double")
+
+
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, by a monotone chain."""
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
+
+    def chain(seq: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(ordered) + chain(ordered[::-1])
+
+
+def coverage(centres: DataFrame, points: DataFrame, radius: float, cell: float) -> DataFrame:
+    """Area of the circles' union over that of the hull of ``points``."""
+    covered = covered_cells(centres, radius, cell).agg((F.count("*") * (cell * cell)).alias("covered"))
+    return covered.crossJoin(F.broadcast(hull_area(points))).withColumn("coverage", F.try_divide("covered", "hull"))
