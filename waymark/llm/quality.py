@@ -68,6 +68,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
     again = np.zeros(len(starts), np.int64)
     again[1:] = (hashes[1:] == hashes[:-1]) & (letters[1:] > 0)
+    again[(np.cumsum(counts) - counts)[counts > 0]] = 0  # a text's first word follows none
     return (hashes >> np.uint64(51)).astype(np.uint16), (kind * 8 + np.minimum(other, 3) * 2 + again).astype(np.uint8), counts
 
 
