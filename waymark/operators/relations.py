@@ -45,53 +45,69 @@ def with_topology(pairs: DataFrame, pois: DataFrame, roads: DataFrame, junctions
 
     A pair's road is the one of least summed distance among those near either place (the smaller id at a tie).
     """
+    corners = near_any(pois, junctions, JUNCTION_RADIUS).select(F.col("id").alias("target_id"), F.col("near_name").alias("junction_t"))
+    pairs = pairs.join(corners, "target_id", "left")
+    d = F.col("distance")
+    # Only pairs of up to 500 m that no junction settles look at roads; the others, most of all, pass without a join.
+    asks = d.between(1, 30) | (d.between(30, 500) & F.col("junction_t").isNull())
+    near = _judged_by_roads(pairs.filter(asks), pois, roads)
+    far = pairs.filter(~asks)
+    topology = F.when(d < 1, "Coincident").when(F.col("junction_t").isNotNull(), "Intersection").otherwise("Isolated")
+    far = far.withColumn("topology", topology)
+    far = far.withColumn("road_name", F.when(F.col("topology") == "Intersection", F.col("junction_t")))
+    return near.unionByName(far).drop("junction_t")
+
+
+def _judged_by_roads(pairs: DataFrame, pois: DataFrame, roads: DataFrame) -> DataFrame:
+    """Topology and road of pairs by the roads within 80 m of either place, which come with the places."""
     held = roads.select("road_id", F.col("name").alias("road"), "width", lines.segments(F.col("points")).alias("segs"))
-    near = lines_near(pois, roads, 80.0).groupBy("id").agg(F.collect_list(F.struct("road_id", "d")).alias("near"))
-    of = lambda side: near.select(F.col("id").alias(f"{side}_id"), F.col("near").alias(f"near_{side}"))
-    corners = near_any(pois, junctions, JUNCTION_RADIUS)
-    by_target = corners.select(F.col("id").alias("target_id"), F.col("near_name").alias("junction_t"))
-    pairs = pairs.join(by_target, "target_id", "left")
-
-    open_ = F.col("distance").between(1, 500)
-    asked = pairs.filter(open_).select("landmark_id", "target_id", "lx", "ly", "rx", "ry", "distance")
-    asked = asked.join(of("landmark"), "landmark_id", "left").join(of("target"), "target_id", "left")
-    none = F.array().cast("array<struct<road_id:bigint,d:double>>")
-    both = F.concat(F.coalesce("near_landmark", none), F.coalesce("near_target", none))
-    ids = F.array_distinct(F.transform(both, lambda n: n["road_id"]))
-    within = lambda r: F.exists(both, lambda n: (n["road_id"] == F.col("road_id")) & (n["d"] <= r))
-    each = asked.withColumn("road_id", F.explode(ids)).withColumn("close", within(50.0)).drop("near_landmark", "near_target")
-    each = each.join(held, "road_id")
-    each = each.withColumns({"at_l": lines.located(F.col("segs"), F.col("lx"), F.col("ly")), "at_t": lines.located(F.col("segs"), F.col("rx"), F.col("ry"))})
-    facts = F.struct("road", "width", (F.abs(F.col("at_l.pos") - F.col("at_t.pos"))).alias("along"), F.col("at_l.d").alias("dl"), F.col("at_t.d").alias("dt"))
-    order = F.struct((F.col("at_l.d") + F.col("at_t.d")).alias("sum"), "road_id")
-    between = F.exists("segs", lambda s: lines.crosses(s, F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
-    best = each.groupBy("landmark_id", "target_id").agg(
-        F.min_by(F.when(F.col("close"), facts), F.when(F.col("close"), order)).alias("r50"),
-        F.min_by(facts, order).alias("r80"),
-        F.max(between).alias("crossed"),
+    met = lines_near(pois, roads, 80.0).join(held, "road_id")
+    near = met.groupBy("id").agg(F.collect_list(F.struct("road_id", "road", "width", "segs", "d")).alias("near"))
+    for side in ("landmark", "target"):
+        pairs = pairs.join(near.select(F.col("id").alias(f"{side}_id"), F.col("near").alias(f"near_{side}")), f"{side}_id", "left")
+    kind = near.schema["near"].dataType
+    none = F.array().cast(kind)
+    lx, ly, rx, ry = (F.col(c) for c in ("lx", "ly", "rx", "ry"))
+
+    def facts(r: Column, close: Column) -> Column:
+        def told(at: Column) -> Column:
+            return F.struct(
+                (at["l"]["d"] + at["t"]["d"]).alias("sum"), r["road_id"].alias("road_id"), r["road"].alias("road"), r["width"].alias("width"),
+                F.abs(at["l"]["pos"] - at["t"]["pos"]).alias("along"), at["l"]["d"].alias("dl"), at["t"]["d"].alias("dt"), close.alias("close"),
+                F.when(F.col("distance") <= 30, F.exists(r["segs"], lambda s: lines.crosses(s, lx, ly, rx, ry))).otherwise(False).alias("crossed"),
+            )
+
+        return lines.let(F.struct(lines.located(r["segs"], lx, ly).alias("l"), lines.located(r["segs"], rx, ry).alias("t")), told)
+
+    def ranked(both: Column) -> Column:
+        own = F.transform(
+            both["l"], lambda r: facts(r, (r["d"] <= 50) | F.exists(both["t"], lambda o: (o["road_id"] == r["road_id"]) & (o["d"] <= 50)))
+        )
+        other = F.filter(both["t"], lambda r: ~F.exists(both["l"], lambda o: o["road_id"] == r["road_id"]))
+        return F.concat(own, F.transform(other, lambda r: facts(r, r["d"] <= 50)))
+
+    both = F.struct(F.coalesce("near_landmark", none).alias("l"), F.coalesce("near_target", none).alias("t"))
+    pairs = pairs.withColumn("_roads", lines.let(both, ranked)).drop("near_landmark", "near_target")
+    picked = lambda x: F.struct(
+        F.array_min(F.filter(x, lambda r: r["close"])).alias("r50"), F.array_min(x).alias("r80"), F.exists(x, lambda r: r["crossed"]).alias("crossed")
     )
-    full = pairs.join(best, ["landmark_id", "target_id"], "left")
-    d = F.col("distance")
-    opposite = (
-        d.between(30, 500) & (F.col("r50.along") <= 20) & (F.abs(F.col("r50.dl") + F.col("r50.dt") - F.col("r50.width")) < 10)
-        & (F.col("r50.dl") > 0) & (F.col("r50.dt") > 0)
-    )
-    same_side = d.between(50, 500) & (F.col("r80.along") <= 200) & (F.col("r80.dl") > 1) & (F.col("r80.dt") > 1)
+    pairs = pairs.withColumn("_best", lines.let(F.col("_roads"), picked)).drop("_roads")
+    d, r50, r80 = F.col("distance"), F.col("_best.r50"), F.col("_best.r80")
+    opposite = d.between(30, 500) & (r50["along"] <= 20) & (F.abs(r50["dl"] + r50["dt"] - r50["width"]) < 10) & (r50["dl"] > 0) & (r50["dt"] > 0)
+    same_side = d.between(50, 500) & (r80["along"] <= 200) & (r80["dl"] > 1) & (r80["dt"] > 1)
     topology = (
-        F.when(d < 1, "Coincident")
-        .when(d.between(1, 30) & ~F.coalesce("crossed", F.lit(False)), "Abutting")
+        F.when(d.between(1, 30) & ~F.col("_best.crossed"), "Abutting")
         .when(F.col("junction_t").isNotNull(), "Intersection")
         .when(opposite, "Opposite")
         .when(same_side, "SameSide")
         .otherwise("Isolated")
     )
-    full = full.withColumn("topology", topology)
     road = (
         F.when(F.col("topology") == "Intersection", F.col("junction_t"))
-        .when(F.col("topology") == "Opposite", F.col("r50.road"))
-        .when(F.col("topology") == "SameSide", F.col("r80.road"))
+        .when(F.col("topology") == "Opposite", r50["road"])
+        .when(F.col("topology") == "SameSide", r80["road"])
     )
-    return full.withColumn("road_name", road).drop("r50", "r80", "crossed", "junction_t")
+    return pairs.withColumn("topology", topology).withColumn("road_name", road).drop("_best")
 
 
 def with_labels(pairs: DataFrame) -> DataFrame:
