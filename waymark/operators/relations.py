@@ -23,20 +23,23 @@ def max_keep(count: Column) -> Column:
     return out.otherwise(2)
 
 
-def candidates(pois: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """Pairs of a landmark (priority over 0) and another background place within ``radius``, measured and labelled."""
-    left = pois.filter("priority > 0").select(F.col("id").alias("landmark_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    right = pois.filter("priority = 0").select(F.col("id").alias("target_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+def candidates(pois: DataFrame, radius: float = RADIUS, carry: Sequence[str] = (), carry_landmark: Sequence[str] = ()) -> DataFrame:
+    """Pairs of a landmark (priority over 0) and another background place within ``radius``, measured and labelled.
+    ``carry`` and ``carry_landmark`` name columns of either place that come along: joins of places before this one
+    are cheaper than joins of pairs after it."""
+    left = pois.filter("priority > 0").select(F.col("id").alias("landmark_id"), F.col("x").alias("lx"), F.col("y").alias("ly"), *carry_landmark)
+    right = pois.filter("priority = 0").select(F.col("id").alias("target_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), *carry)
     pairs = distance_join(left, right, radius).filter("landmark_id <> target_id")
     az = geo.azimuth(F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly"))
     pairs = pairs.withColumn("azimuth", az)
     return pairs.withColumns({"dist_level": geo.dist_level(F.col("distance")), "direction_8": geo.direction_8(F.col("azimuth"))})
 
 
-def with_keep(pairs: DataFrame) -> DataFrame:
-    """Adds each landmark's candidate count and how many relations of a class it keeps."""
-    counts = pairs.groupBy("landmark_id").agg(F.count("*").alias("poi_count"))
-    return pairs.join(counts, "landmark_id").withColumn("max_keep", max_keep(F.col("poi_count")))
+def with_keep(pois: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """Places with ``poi_count``, each landmark's number of candidates, and ``max_keep``, how many relations of a
+    class it keeps. Pairs are counted where they arise, so that none is shuffled for it."""
+    counts = candidates(pois, radius).groupBy(F.col("landmark_id").alias("id")).agg(F.count("*").alias("poi_count"))
+    return pois.join(counts, "id", "left").withColumn("max_keep", max_keep(F.col("poi_count")))
 
 
 def with_topology(pairs: DataFrame, pois: DataFrame, roads: DataFrame, junctions: DataFrame) -> DataFrame:
@@ -45,8 +48,9 @@ def with_topology(pairs: DataFrame, pois: DataFrame, roads: DataFrame, junctions
 
     A pair's road is the one of least summed distance among those near either place (the smaller id at a tie).
     """
-    corners = near_any(pois, junctions, JUNCTION_RADIUS).select(F.col("id").alias("target_id"), F.col("near_name").alias("junction_t"))
-    pairs = pairs.join(corners, "target_id", "left")
+    if "junction_t" not in pairs.columns:
+        corners = near_any(pois, junctions, JUNCTION_RADIUS).select(F.col("id").alias("target_id"), F.col("near_name").alias("junction_t"))
+        pairs = pairs.join(corners, "target_id", "left")
     d = F.col("distance")
     # Only pairs of up to 500 m that no junction settles look at roads; the others, most of all, pass without a join.
     asks = d.between(1, 30) | (d.between(30, 500) & F.col("junction_t").isNull())
@@ -58,6 +62,24 @@ def with_topology(pairs: DataFrame, pois: DataFrame, roads: DataFrame, junctions
     return near.unionByName(far).drop("junction_t")
 
 
+def with_corners(pois: DataFrame, junctions: DataFrame) -> DataFrame:
+    """Places with ``junction_t``, the nearest junction's name where one is near."""
+    corners = near_any(pois, junctions, JUNCTION_RADIUS).withColumnRenamed("near_name", "junction_t")
+    return pois.join(corners, "id", "left")
+
+
+def labelled(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """All candidate pairs with counts, topology and labels."""
+    return with_labels(classed(pois, roads, junctions, radius))
+
+
+def classed(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """All candidate pairs with counts and topology."""
+    places = with_corners(with_keep(pois, radius), junctions)
+    pairs = candidates(places, radius, ["junction_t"], ["poi_count", "max_keep"])
+    return with_topology(pairs, pois, roads, junctions)
+
+
 def _judged_by_roads(pairs: DataFrame, pois: DataFrame, roads: DataFrame) -> DataFrame:
     """Topology and road of pairs by the roads within 80 m of either place, which come with the places."""
     held = roads.select("road_id", F.col("name").alias("road"), "width", lines.segments(F.col("points")).alias("segs"))
@@ -136,8 +158,9 @@ def selected(pairs: DataFrame, order: Sequence[str] | None = None, seed: int = 4
     """The ``max_keep`` first relations of each landmark, topology and band: by ``order``, else by a seeded hash of
     the pair, so that a choice is the same in every run and partitioning."""
     ordering = [*order] if order else [F.xxhash64("landmark_id", "target_id", F.lit(seed)), F.col("target_id")]
+    most = max(keep for _, keep in KEEP_BANDS)  # a fixed limit, by which tasks drop rows before the shuffle
     rank = F.row_number().over(Window.partitionBy("landmark_id", "topology", "dist_level").orderBy(*ordering))
-    return pairs.filter("topology is not null and dist_level is not null").withColumn("rn", rank).filter("rn <= max_keep").drop("rn")
+    return pairs.filter("topology is not null and dist_level is not null").withColumn("rn", rank).filter(F.col("rn") <= most).filter("rn <= max_keep").drop("rn")
 
 
 def with_attributes(pairs: DataFrame, pois: DataFrame, attributes: Sequence[str] = ("name", "type_3")) -> DataFrame:
@@ -149,6 +172,5 @@ def with_attributes(pairs: DataFrame, pois: DataFrame, attributes: Sequence[str]
 
 
 def relations(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: float = RADIUS, order: Sequence[str] | None = None) -> DataFrame:
-    """The whole chain from places to kept, labelled relations."""
-    pairs = with_topology(with_keep(candidates(pois, radius)), pois, roads, junctions)
-    return selected(with_labels(pairs), order)
+    """The whole chain from places to kept, labelled relations. Labels come last, for the kept rows only."""
+    return with_labels(selected(classed(pois, roads, junctions, radius), order))

@@ -29,7 +29,10 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, cell: float
 
     ``left`` is repeated into the cells that its circle meets, so it should be the smaller side. ``salts`` deals the
     rows of a crowded cell to so many tasks, at the price of as many copies of ``left``. Null places meet nothing.
+    Places are dealt evenly first: they are few beside their pairs, which would else arise in as many tasks as the
+    places have files if ``left`` is broadcast.
     """
+    right = right.repartition(int(right.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     size = cell or float(radius)
     probe = left.withColumn("_cx", F.explode(_around(F.col("lx"), radius, size))).withColumn("_cy", F.explode(_around(F.col("ly"), radius, size)))
     held = right.withColumns({"_cx": _cell(F.col("rx"), size), "_cy": _cell(F.col("ry"), size)})

@@ -27,14 +27,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rel.candidates(tables.pois(spark, sf))
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    pois = tables.pois(spark, sf)
-    pairs = rel.with_topology(rel.with_keep(rel.candidates(pois)), pois, tables.roads(spark, sf), tables.junctions(spark, sf))
-    return rel.with_labels(pairs)
-
-
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    return rel.selected(_labelled(spark, sf), ["distance", "target_id"])
+    return rel.relations(tables.pois(spark, sf), tables.roads(spark, sf), tables.junctions(spark, sf), order=["distance", "target_id"])
 
 
 def _r(name: str, digits: int = 6):  # noqa: ANN202
@@ -67,13 +61,15 @@ def distance_self_join_salted(spark, sf):
   FROM candidates GROUP BY ALL""")
 def candidate_keep(spark, sf):
     """A1."""
-    return rel.with_keep(_pairs(spark, sf)).select("landmark_id", "poi_count", "max_keep").distinct()
+    places = rel.with_keep(tables.pois(spark, sf)).filter("poi_count > 0")
+    return places.select(F.col("id").alias("landmark_id"), "poi_count", "max_keep")
 
 
 @query(f"{base.WITH_TOPOLOGY} SELECT topology, road_name, count(*) AS n, round(sum(distance), 3) AS total_m FROM topology GROUP BY ALL")
 def topology_cascade(spark, sf):
     """G7-G12, J3-J8."""
-    return _labelled(spark, sf).groupBy("topology", "road_name").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total_m"))
+    pairs = rel.classed(tables.pois(spark, sf), tables.roads(spark, sf), tables.junctions(spark, sf))
+    return pairs.groupBy("topology", "road_name").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total_m"))
 
 
 _COLUMNS = (
@@ -269,7 +265,8 @@ def relation_quality(spark, sf):
 
 def relations_hash_choice(spark, sf):
     """W1 with the seeded hash order; SQL has no such hash."""
-    return rel.selected(_labelled(spark, sf)).select("landmark_id", "target_id", "topology", "dist_level")
+    kept = rel.relations(tables.pois(spark, sf), tables.roads(spark, sf), tables.junctions(spark, sf))
+    return kept.select("landmark_id", "target_id", "topology", "dist_level")
 
 
 QUERIES["relations_hash_choice"] = (relations_hash_choice, None)
