@@ -138,3 +138,15 @@ def district_of(file_name: Column) -> Column:
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
     named, word = F.regexp_extract(stem, "^(.+?)_POI数据$", 1), F.regexp_extract(stem, "[一-龥]+区", 0)
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(word, F.lit("")))
+
+
+def file_report(raw: DataFrame, clean: DataFrame, file_col: str = "source_file", id_col: str = "poi_id") -> DataFrame:
+    """Per input file: rows in, rows kept, and whether it was processed or, being without rows that count, skipped.
+
+    One job cleans all files; this tells what it made of each.
+    """
+    read = raw.groupBy(file_col).agg(F.count("*").alias("rows"), F.count(id_col).alias("with_id"))
+    kept = clean.groupBy(file_col).agg(F.count("*").alias("kept"))
+    status = F.when(F.col("with_id") > 0, "processed").otherwise("skipped")
+    out = read.join(kept, file_col, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("long")))
+    return out.select(file_col, "rows", "kept", status.alias("status"))

@@ -174,3 +174,19 @@ def with_attributes(pairs: DataFrame, pois: DataFrame, attributes: Sequence[str]
 def relations(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: float = RADIUS, order: Sequence[str] | None = None) -> DataFrame:
     """The whole chain from places to kept, labelled relations. Labels come last, for the kept rows only."""
     return with_labels(selected(classed(pois, roads, junctions, radius), order))
+
+
+def distribution_bundle(kept: DataFrame) -> dict[str, DataFrame]:
+    """The overview of kept relations and their distributions by direction, band, topology and ambiguity, with the
+    cross-table of direction and band: tables for ``sinks.bundle``."""
+    from waymark.operators import stats
+
+    levels = [name for name, _ in geo.DIST_BANDS]
+    return {
+        "overview": kept.agg(F.count("*").alias("relations"), F.count_distinct("landmark_id").alias("landmarks"), F.count_distinct("target_id").alias("targets")),
+        "direction": stats.distribution(kept, "direction_8", geo.DIRECTIONS_8),
+        "distance": stats.distribution(kept, "dist_level", levels),
+        "topology": stats.distribution(kept, "topology", geo.TOPOLOGIES),
+        "ambiguity": stats.distribution(kept, "ambiguity_level", [*(name for name, _ in geo.AMBIGUITY_BANDS), "CROSS_BOUNDARY"]),
+        "direction_distance": stats.crosstab(kept.filter("direction_8 is not null"), "direction_8", "dist_level", levels),
+    }

@@ -212,3 +212,11 @@ def json_rows(spark, sf):
     text = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("name"), location.alias("location"), F.get_json_object("props", "$.k").alias("typecode")))
     rows = readers.json_places(tables.table(spark, sf, "events").select(F.concat(F.lit("["), text, F.lit("]")).alias("json")), "json")
     return rows.select(F.col("poi_id").cast("long").alias("event_id"), "lon", "lat", "name", F.col("codes").cast("int").alias("k"))
+
+
+@query(f"""WITH {_CHAIN}, f AS (SELECT ord, poi_id, concat('district', ord % 16, '.csv') AS source_file FROM raw), k AS (SELECT concat('district', ord % 16, '.csv') AS source_file, count(*) AS kept FROM judged WHERE reason IS NULL GROUP BY 1)
+  SELECT source_file, count(*) AS rows, coalesce(any_value(kept), 0) AS kept, 'processed' AS status FROM f LEFT JOIN k USING (source_file) GROUP BY source_file""")
+def file_report(spark, sf):
+    """F21, SRC12: what one job over all files made of each."""
+    raw = raw_places(spark, sf).withColumn("source_file", F.expr("concat('district', ord % 16, '.csv')"))
+    return clean.file_report(raw, clean.cleaned(raw, _DELETED)[0])

@@ -270,3 +270,16 @@ def relations_hash_choice(spark, sf):
 
 
 QUERIES["relations_hash_choice"] = (relations_hash_choice, None)
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, name, n, percent FROM ({_distribution_sql(c, names)})" for k, c, names in (
+    ("direction", "direction_8", geo.DIRECTIONS_8), ("distance", "dist_level", [n for n, _ in geo.DIST_BANDS]), ("topology", "topology", geo.TOPOLOGIES),
+    ("ambiguity", "ambiguity_level", [*(n for n, _ in geo.AMBIGUITY_BANDS), "CROSS_BOUNDARY"]))))
+def distribution_bundle(spark, sf):
+    """The tables of the distribution workbook, one below the other."""
+    made = rel.distribution_bundle(_kept(spark, sf))
+    out = None
+    for kind in ("direction", "distance", "topology", "ambiguity"):
+        one = made[kind].select(F.lit(kind).alias("kind"), "name", "n", F.round("percent", 6).alias("percent"))
+        out = one if out is None else out.union(one)
+    return out
