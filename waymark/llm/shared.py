@@ -28,13 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(f"{shared_dir(spark)}/waymark-{name}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
+def clear_staged(spark: SparkSession, since: int, *keep: str) -> None:
+    """Deletes the intermediate tables that this process has written from number ``since`` on, except ``keep``; what
+    reads them is void then. Others' tables, and those that earlier results still read, stay."""
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _STAGED[since:] if p not in keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _STAGED.remove(path)
+
+
+def staged_count() -> int:
+    return len(_STAGED)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = staged_path(df.sparkSession, name)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
