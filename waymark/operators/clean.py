@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine
@@ -18,10 +18,15 @@ BOX = (115.4, 117.5, 39.4, 41.0)
 
 
 def first_by_id(df: DataFrame, id_col: str = "poi_id", order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """The first row of each id, and the others as rejects."""
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(order)))
-    gone = ranked.filter("_n > 1").select(F.col(id_col).alias("poi_id"), F.lit("duplicate_id").alias("reason"))
-    return ranked.filter("_n = 1").drop("_n"), gone
+    """The first row of each id, and the others as rejects. ``order`` has no equal values within an id.
+
+    The first is found by a partial aggregate and joined back, which Spark can split where an id is frequent; rows
+    without an id count as one id.
+    """
+    firsts = df.groupBy(F.col(id_col).alias("_id")).agg(F.min(order).alias("_first"))
+    held = df.join(firsts, F.col(id_col).eqNullSafe(F.col("_id")))
+    gone = held.filter(F.col(order) > F.col("_first")).select(F.col(id_col).alias("poi_id"), F.lit("duplicate_id").alias("reason"))
+    return held.filter(F.col(order) == F.col("_first")).drop("_id", "_first"), gone
 
 
 def apart_by_location(df: DataFrame, metres: float = 1.0, id_col: str = "poi_id", order: str = "ord") -> tuple[DataFrame, DataFrame]:

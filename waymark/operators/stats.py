@@ -153,12 +153,16 @@ def separation(df: DataFrame, value: str, group: Column) -> DataFrame:
 
 def kappa(df: DataFrame, a: str, b: str, weighted: bool = False) -> DataFrame:
     """Cohen's kappa of two raters' labels over the rows where both are given; quadratic weights if ``weighted``."""
-    pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    rows, cols = pairs.groupBy("a").agg(F.sum("n").alias("na")), pairs.groupBy("b").agg(F.sum("n").alias("nb"))
-    grid = rows.crossJoin(cols).join(pairs, ["a", "b"], "left")  # classes by classes
-    w = ((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))).cast("double") if weighted else (F.col("a") != F.col("b")).cast("double")
-    total = pairs.agg(F.sum("n").cast("double").alias("t"))
-    sums = with_scalars(grid, total).agg(
-        F.first("t").alias("t"), F.sum(w * F.coalesce("n", F.lit(0)) / F.col("t")).alias("wo"), F.sum(w * F.col("na") * F.col("nb") / F.col("t") / F.col("t")).alias("we")
-    )
-    return sums.select(F.col("t").cast("long").alias("n"), F.round(1 - F.col("wo"), 6).alias("agreement") if not weighted else F.round("wo", 6).alias("disagreement"), F.round(F.coalesce(1 - F.try_divide("wo", "we"), F.lit(1.0)), 6).alias("kappa"))
+    rated = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if weighted:  # the mean square of differences, observed and of independent raters, from moments
+        x, y = F.col("a").cast("double"), F.col("b").cast("double")
+        sums = rated.agg(
+            F.count("*").alias("n"), F.avg((x - y) * (x - y)).alias("wo"), (F.avg(x * x) + F.avg(y * y) - 2 * F.avg(x) * F.avg(y)).alias("we")
+        )
+        return sums.select("n", F.round("wo", 6).alias("disagreement"), F.round(F.coalesce(1 - F.try_divide("wo", "we"), F.lit(1.0)), 6).alias("kappa"))
+    sums = rated.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("int")).alias("po"))
+    rows, cols = rated.groupBy("a").agg(F.count("*").alias("na")), rated.groupBy(F.col("b").alias("a")).agg(F.count("*").alias("nb"))
+    met = rows.join(cols, "a").agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)).alias("both"))
+    pe = F.try_divide(F.col("both"), F.col("n").cast("double") * F.col("n"))
+    kappa_ = F.coalesce(F.try_divide(F.col("po") - pe, 1 - pe), F.lit(1.0))
+    return beside(sums, met).select("n", F.round("po", 6).alias("agreement"), F.round(kappa_, 6).alias("kappa"))
