@@ -1,0 +1,53 @@
+"""Whole repeated runs against brute force over all pairs of lines."""
+
+import pytest
+
+from waymark.llm import line_runs
+
+
+def brute(rows, words=50):
+    """id -> text without the lines of every run of over ``words`` words that stands line for line at an earlier place."""
+    lines = {i: t.split("\n") for i, t in rows.items() if t is not None}
+    places = [(i, k) for i in sorted(lines) for k in range(len(lines[i]))]
+    gone = set()
+    for n, (i, k) in enumerate(places):
+        for j, m in places[:n]:
+            size = 0
+            while k + size < len(lines[i]) and m + size < len(lines[j]) and lines[i][k + size] == lines[j][m + size]:
+                size += 1
+            if len(" ".join(lines[i][k : k + size]).split()) > words:
+                gone |= {(i, k + x) for x in range(size)}
+    return {i: t if t is None else "\n".join(x for k, x in enumerate(lines[i]) if (i, k) not in gone) for i, t in rows.items()}
+
+
+def run(spark, rows, **how):
+    df = spark.createDataFrame([(i, t, 1, "h", "k") for i, t in rows], "doc_id long, text string, id int, h string, k string")
+    out = line_runs.deduplicated(df, **how)
+    assert out.columns[:5] == df.columns
+    return out.collect()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5])
+def test_whole_passage_goes_whatever_stands_around_it(spark, size):
+    """The chunk rule of ``line_dedup`` leaves most such passages as they are."""
+    for salt in range(3):
+        passage = "\n".join(f"{salt} {k} " + " ".join(f"w{x}" for x in range(60 // size)) for k in range(size))
+        got = run(spark, [(1, "head\n" + passage), (2, "other head\nand more\n" + passage + "\n\ntail"), (3, passage)], report=True)
+        assert {r.doc_id: (r.text, r.lines_removed) for r in got} == {1: ("head\n" + passage, 0), 2: ("other head\nand more\n\ntail", size), 3: ("", size)}
+
+
+def test_against_brute_force(spark, sf_dir):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 2 = 0 or doc_id in (77, 92, 145)").collect()}
+    want = brute(rows)
+    assert want != rows and {r.doc_id: r.text for r in run(spark, list(rows.items()))} == want
+    small = {i: t and t[:600] for i, t in list(rows.items())[:40]}
+    assert {r.doc_id: r.text for r in run(spark, list(small.items()), words=2)} == brute(small, 2)
+
+
+def test_odd_rows(spark):
+    long = "ein Wort " * 40
+    rows = [(1, None), (2, ""), (3, "\n\n\n"), (4, "\n\n\n"), (5, long), (5, long), (None, long), (6, "a\n" + long), (6, long + "\nb"), (7, "short"), (8, "short")]
+    got = sorted(((str(r.doc_id), r.text) for r in run(spark, rows)), key=str)
+    want = [("1", None), ("2", ""), ("3", "\n\n\n"), ("4", "\n\n\n"), ("5", ""), ("5", ""), ("None", long), ("6", "a"), ("6", "\nb"[1:]), ("7", "short"), ("8", "short")]
+    assert got == sorted(want, key=str)
+    assert run(spark, []) == []

@@ -1,0 +1,99 @@
+"""Deduplication of whole line runs: no boundary rule decides what is seen.
+
+A run is a series of successive lines. Every run of more than ``words`` words that stands line for line at an earlier
+place of the corpus (smaller id, then position) goes, whole; the first place stays. A line lies in such a run exactly
+if it lies in a repeated window that is minimal: over ``words`` words, and no longer so without its last line, or
+without its first. Two windows a line at most are compared, so work grows with the lines and not with their pairs.
+
+A window's key is its 128-bit BLAKE2 digest, so that equal keys are equal bytes. Digests and places are shuffled
+first, without texts. Texts are shuffled once, to meet the removals of their row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from waymark.llm.shared import id_and_text, staged, text_slices
+
+WORDS = 50
+
+
+def windows(text: bytes, words: int = WORDS) -> list[tuple[int, int, bytes]]:
+    """The minimal windows of a text as (first line, line after the last, digest), each once."""
+    lines = text.split(b"\n")
+    sums = np.cumsum([0, *(len(x.split()) for x in lines)])
+    if sums[-1] <= words:
+        return []
+    at = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    n = np.arange(len(lines))
+    ends = np.searchsorted(sums, sums[:-1] + words, "right")  # from line i on, the first end with more words
+    starts = np.searchsorted(sums, sums[1:] - words, "left") - 1  # up to line j, the last start with more words
+    spans = [(i, j) for i, j in zip(n.tolist(), ends.tolist(), strict=True) if j <= len(lines)]
+    spans += [(i, j) for i, j in zip(starts.tolist(), (n + 1).tolist(), strict=True) if i >= 0]
+    return [(i, j, blake2b(text[at[i] : at[j] - 1], digest_size=16).digest()) for i, j in sorted(set(spans))]
+
+
+def _windows_of(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_slices(batches):
+            rows, firsts, digests = [], [], []
+            for row, text in enumerate(texts):
+                for i, _, digest in windows(text, words):
+                    rows.append(row)
+                    firsts.append(i)
+                    digests.append(digest)
+            taken = ids.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, pa.array(firsts, pa.int64()), pa.array(digests, pa.binary())], names=["id", "k", "h"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, k long, h binary")
+
+
+def _without(text: bytes, gone: set[tuple[int, bytes]], words: int) -> tuple[bytes, int]:
+    """The text without the lines of those windows, and how many lines went."""
+    lines = text.split(b"\n")
+    stays = np.ones(len(lines), bool)
+    for i, j, digest in windows(text, words):
+        if (i, digest) in gone:
+            stays[i:j] = False
+    return b"\n".join(x for x, s in zip(lines, stays.tolist(), strict=True) if s), int((~stays).sum())
+
+
+def deduplicated(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, report: bool = False
+) -> DataFrame:
+    """``docs`` with repeated runs of more than ``words`` words removed from its texts; other columns and all rows stay.
+
+    ``report`` adds ``lines_removed``. A null text stays null; a text of which all is repeated becomes empty. Rows that
+    share an id (a null id too) count as one document, so that exactly repeated rows keep what they have alike.
+    """
+    key, place = F.col(f"`{id_col}`").cast("long"), F.struct("id", "k")
+    each = staged(_windows_of(docs, id_col, text_col, words), "run-windows")
+    # Partial aggregation leaves a row for each digest and task, however often a window is repeated.
+    firsts = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    firsts = staged(firsts.select("h", "first"), "run-firsts")  # a join of two shuffles, of which AQE splits hot digests
+    again = each.join(firsts, "h").filter(~F.col("first").eqNullSafe(place)).groupBy(F.col("id").alias("__id"))
+    again = again.agg(F.collect_set(F.struct("k", "h")).alias("__again"))
+    met = docs.join(again, key.eqNullSafe(F.col("__id")), "left").drop("__id")
+    met = met.withColumn("__removed", F.lit(0).cast("long"))
+    names, at = met.columns, docs.columns.index(text_col)
+    back = [F.col(f"`{c}`") for c in docs.columns] + [F.col("__removed").alias("lines_removed")] * report
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column(at).cast(pa.large_binary()).to_pylist(), batch.column(len(names) - 2)
+            removed = [0] * len(texts)
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if texts[k] is not None:
+                    texts[k], removed[k] = _without(texts[k], {(a["k"], a["h"]) for a in gone[k].as_py()}, words)
+            cols = list(batch.columns)
+            cols[at] = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type)
+            cols[-2], cols[-1] = pa.nulls(len(texts), gone.type), pa.array(removed, pa.int64())
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return staged(met, "run-rows").mapInArrow(run, met.schema).select(*back)

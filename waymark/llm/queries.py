@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, line_dedup, neighbours, quality, simhash, token_files, toxicity, unigram, url_filter
+from waymark.llm import decontaminate, language, line_dedup, line_runs, neighbours, quality, simhash, token_files, toxicity, unigram, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs, report=True)
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_runs.deduplicated(docs, report=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -99,4 +104,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
+        "op11_line_runs": op11_line_runs,
     }
