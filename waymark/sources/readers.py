@@ -99,32 +99,43 @@ def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged"
     return Paged
 
 
-def _line(blob: bytes) -> list[tuple[float, float]] | None:
-    """Points of a GeoPackage line; of several parts, those of the first."""
+def _lines(blob: bytes) -> list[list[tuple[float, float]] | None]:
+    """The lines of a GeoPackage geometry, one for each part; what has none gives one null."""
     if blob is None or blob[:2] != b"GP":
-        return None
+        return [None]
     at = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
-    order = "<" if blob[at] else ">"
-    kind = struct.unpack_from(order + "I", blob, at + 1)[0]
+    order, kind = _wkb_head(blob, at)
+    parts = 1
     if kind % 1000 == 5:
+        parts = struct.unpack_from(order + "I", blob, at + 5)[0]
         at += 9
-        order = "<" if blob[at] else ">"
-        kind = struct.unpack_from(order + "I", blob, at + 1)[0]
-    if kind % 1000 == 1:
-        return [struct.unpack_from(order + "2d", blob, at + 5)]
-    if kind % 1000 != 2:
-        return None
-    size = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
-    n = struct.unpack_from(order + "I", blob, at + 5)[0]
-    flat = struct.unpack_from(f"{order}{n * size}d", blob, at + 9)
-    return [(flat[k], flat[k + 1]) for k in range(0, n * size, size)]
+    out: list[list[tuple[float, float]] | None] = []
+    for _ in range(parts):
+        order, kind = _wkb_head(blob, at)
+        if kind % 1000 == 1:
+            return [[struct.unpack_from(order + "2d", blob, at + 5)]]
+        if kind % 1000 != 2:
+            return [None]
+        size = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
+        n = struct.unpack_from(order + "I", blob, at + 5)[0]
+        flat = struct.unpack_from(f"{order}{n * size}d", blob, at + 9)
+        out.append([(flat[k], flat[k + 1]) for k in range(0, n * size, size)])
+        at += 9 + 8 * n * size
+    return out or [None]
+
+
+def _wkb_head(blob: bytes, at: int) -> tuple[str, int]:
+    order = "<" if blob[at] else ">"
+    return order, struct.unpack_from(order + "I", blob, at + 1)[0]
 
 
 def geopackage(spark: SparkSession, path: str, table: str, geometry: str = "geom", columns: Sequence[str] = ()) -> DataFrame:
-    """Features of a GeoPackage file, read on the driver, with ``points`` in the file's own coordinates."""
+    """Features of a GeoPackage file, read on the driver, with ``points`` in the file's own coordinates. A line of
+    several parts gives a row for each, with the feature's columns."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
         names = ", ".join(f'"{c}"' for c in (geometry, *columns))
-        rows = [(*(None if v is None else str(v) for v in rest), _line(blob)) for blob, *rest in con.execute(f'SELECT {names} FROM "{table}"')]
+        found = con.execute(f'SELECT {names} FROM "{table}"')
+        rows = [(*(None if v is None else str(v) for v in rest), line) for blob, *rest in found for line in _lines(blob)]
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.createDataFrame(rows, f"{schema}{', ' if schema else ''}points array<struct<x:double,y:double>>")
 
