@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import id_and_text, staged, text_slices
+from waymark.llm.shared import checkpointed, id_and_text, staged, text_slices
 
 WINDOW = 13
 ITEM_BLOCK_BYTES = 2 << 20
@@ -282,6 +282,19 @@ def contamination(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, columns as they are. Rows with a null id are kept."""
-    bad = contamination(docs, items, **how).filter("contaminated and id is not null").select(F.col("id").alias("doc_id"))
-    return docs.join(staged(bad.distinct(), "contaminated"), "doc_id", "left_anti")
+    """The rows of ``docs`` that aren't contaminated, columns as they are. Rows with a null id are kept.
+
+    Where an id stands on contaminated and on clean rows, those rows are numbered and judged each.
+    """
+    judged = contamination(docs, items, **how).filter("id is not null").groupBy(F.col("id").alias("doc_id"))
+    some = judged.agg(F.bool_or("contaminated").alias("bad"), F.bool_and("contaminated").alias("all_bad")).filter("bad")
+    some = staged(some, "contaminated")
+    clean = docs.join(some, "doc_id", "left_anti")
+    mixed = checkpointed(some.filter("not all_bad").select("doc_id"))
+    if mixed.isEmpty():
+        return clean
+    numbered = docs.join(mixed, "doc_id", "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    numbered = staged(numbered, "mixed-rows")
+    rows = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), items, **how)
+    bad = staged(rows.filter("contaminated").select(F.col("id").alias("__row")), "contaminated-rows")
+    return clean.unionByName(numbered.join(bad, "__row", "left_anti").drop("__row"))

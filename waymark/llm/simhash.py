@@ -89,6 +89,17 @@ def with_components(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def _grouped(prints: DataFrame, pairwise: int) -> DataFrame:
+    """``prints(id, fp)`` with its ``group``, a fingerprint, and the group's smallest id as component. Fingerprints are
+    linked here, not ids: different texts under one id tie no groups together."""
+    reps = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    links = checkpointed(linked(reps.filter("rep is not null").select("fp", F.col("fp").alias("rep")), pairwise))
+    groups = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    named = staged(reps.join(groups, "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group")), "groups")
+    least = named.groupBy("group").agg(F.min("rep").alias("component"))
+    return prints.join(named.join(least, "group").select("fp", "group", "component"), "fp")
+
+
 def linked(reps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     """``reps(fp, rep)``, distinct fingerprints, to ``(a, b)``: reps tied to the smallest rep of the linked ones
     that share a key. These edges connect exactly what links of at most two bits connect."""
@@ -230,15 +241,27 @@ def _rekey_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, pairwise: int = PAIRWISE
+) -> DataFrame:
     """The rows of ``docs`` whose id is their component's, one row of each group; columns stay as they are.
 
-    Rows repeated under the kept id are one row; rows with a null id are kept, as nothing names them.
+    Rows repeated under the kept id are one row if their texts are near copies, that of the smallest text; unrelated
+    texts under one id are judged each. Rows with a null id are kept, as nothing names them.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    found = staged(_grouped(staged(fingerprints(docs, id_col, text_col, shingle), "prints"), pairwise), "grouped")
+    named = found.filter("id is not null").groupBy(F.col("id").alias(id_col))
+    repeated = checkpointed(named.count().filter("count > 1").select(id_col))
     gone = found.filter("id is not null and id <> component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = found.groupBy("id").count().filter("id is not null and count > 1").select(F.col("id").alias(id_col))
-    if (again := checkpointed(repeated)).isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    if repeated.isEmpty():
+        return docs.join(gone, id_col, "left_anti")
+    single = docs.join(repeated, id_col, "left_anti").join(gone, id_col, "left_anti")
+    again = docs.join(repeated, id_col, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    numbered = staged(again.withColumn("__row", F.monotonically_increasing_id()), "repeated-rows")
+    of_row = fingerprints(numbered, "__row", text_col, shingle).select(F.col("id").alias("__row"), "fp")
+    stays = found.filter("id = component").select(F.col("id").alias("__id"), "fp", "group").distinct()
+    keyed = numbered.select("__row", F.col(f"`{id_col}`").alias("__id")).join(of_row, "__row").join(stays, ["__id", "fp"])
+    met = numbered.join(keyed.select("__row", "__id", F.col("group").alias("__group")), "__row")
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.coalesce(text_col, F.lit("")), "__row"))
+    kept = met.groupBy("__id", "__group").agg(first.alias("__kept"))
+    return single.unionByName(kept.select("__kept.*"))
