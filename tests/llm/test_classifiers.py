@@ -103,3 +103,10 @@ def test_risk_is_corrected_by_the_prior(prior):
     w, b = toxicity.train(texts(500, 1), unlabelled, prior, 0)
     score = 1 / (1 + np.exp(-(unlabelled @ w + b)))
     assert score[unlabelled[:, 0] == 1].min() > 0.5 > score[unlabelled[:, 0] == 0].max()
+
+
+def test_language_learns_from_the_end_of_long_texts(spark):
+    head = "eins zwei drei vier " * 3_000
+    rows = [(i, head + "quixotic zephyr vocabulary " * 40, "aa") for i in range(4)] + [(9, "kurz", "aa")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"zephyr" in model.dictionaries["aa"] and b"drei" in model.dictionaries["aa"] and b"kurz" in model.dictionaries["aa"]

@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.shared import id_and_text, text_slices
 
 DICTIONARY_BYTES = 1 << 18
 SAMPLE_ROWS = 400
+SPANS = 8
 ROW_BYTES = 1 << 13
 BLOCK = 1 << 12
 LEVEL = 9
@@ -73,6 +74,14 @@ class LanguageModel:
         return names[best], 1 - 0.5 * float(np.exp(-20 * margin)), margin
 
 
+def _spread(text: Column, most: int, spans: int = SPANS) -> Column:
+    """A text of at most ``most`` characters whole; of a longer one ``spans`` equal parts, from its beginning to its end."""
+    size = max(1, most // spans)
+    begin = lambda k: F.floor(k * (F.length(text) - size) / (spans - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(spans - 1)), lambda k: F.substr(text, begin(k), F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(parts, " "))
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -84,8 +93,9 @@ def fit(
 ) -> LanguageModel:
     """A model of the languages of ``docs``, from a bounded sample of its rows.
 
-    Of each language ``sample_rows`` rows by hash of the id, each giving the first ``row_bytes`` characters at most
-    to a dictionary of ``dictionary_bytes``; so the model grows with the number of languages only.
+    Of each language ``sample_rows`` rows by hash of the id, each giving ``row_bytes`` characters at most,
+    in spans spread over the whole text, to a dictionary of ``dictionary_bytes``; so the model grows with the number of
+    languages only.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
@@ -101,7 +111,7 @@ def fit(
     parts = 16
     first = F.row_number().over(Window.partitionBy("lang", "part").orderBy("order", "id"))
     near = near.select("lang", "id", "text", order.alias("order"), F.pmod(F.shiftright(order, 24), F.lit(parts)).alias("part"))
-    picked = near.select("lang", "order", F.substring("text", 1, row_bytes).alias("text"), first.alias("n")).filter(
+    picked = near.select("lang", "order", _spread(F.col("text"), row_bytes).alias("text"), first.alias("n")).filter(
         F.col("n") <= -(-sample_rows // parts)
     )
     held: dict[str, list[str]] = {}
