@@ -62,3 +62,11 @@ def test_dense_reference(spark):
 
 def test_empty_table(spark):
     assert judged(spark, []) == {}
+
+
+def test_ranks_settle_along_long_chains(spark):
+    """A host 12 edges away gets its rank, where 8 rounds give it none."""
+    rows = [(0, "http://good.net/de/1", "<a href='http://h1.io/'>")] + [(k, f"http://h{k}.io/", f"<a href='http://h{k + 1}.io/'>") for k in range(1, 12)]
+    assert judged(spark, rows)[11].trust == 0
+    got = judged(spark, rows, rounds=None)
+    assert all(abs(got[k].trust - 15 * url_filter.MASS // 100 * 0.85**k) < 1e-6 * url_filter.MASS for k in range(12))

@@ -22,6 +22,7 @@ RULES = (
 MASS = 10**17
 DAMPING = 85
 ROUNDS = 8
+TOLERANCE, MOST_ROUNDS = 1e-6, 300
 LEAST_LABELS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -84,8 +85,11 @@ def seeds(ruled: DataFrame) -> DataFrame:
     return counted.select("host", F.explode(both).alias("s")).select("s.kind", "host", "s.weight").filter("weight > 0")
 
 
-def propagated(edges: DataFrame, seeded: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
-    """``(kind, host, rank)``: both ranks after ``rounds`` steps, of a total of at most ``MASS`` each."""
+def propagated(edges: DataFrame, seeded: DataFrame, rounds: int | None = ROUNDS, damping: int = DAMPING) -> DataFrame:
+    """``(kind, host, rank)``: both ranks after ``rounds`` steps, of a total of at most ``MASS`` each.
+
+    ``rounds`` None: until a step moves at most ``TOLERANCE`` of ``MASS`` in all; an error after ``MOST_ROUNDS``.
+    """
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst").union(edges.select(F.lit("distrust"), "dst", "src"))
     degrees = ways.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     ways = staged(ways.join(degrees, ["kind", "src"]), "host-ways")
@@ -94,20 +98,31 @@ def propagated(edges: DataFrame, seeded: DataFrame, rounds: int = ROUNDS, dampin
     base = checkpointed(base.select("kind", "host", F.expr(f"weight * ({MASS} div total)").alias("rank")))
     restart = base.select("kind", "host", F.expr(f"rank div 100 * {100 - damping}").alias("rank"))
     now = base
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         sent = ways.join(now.withColumnRenamed("host", "src"), ["kind", "src"])
         sent = sent.select("kind", F.col("dst").alias("host"), F.expr(f"rank div 100 * {damping} div degree").alias("rank"))
-        now = checkpointed(restart.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        before, now = now, checkpointed(restart.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        if rounds is None and _moved(before, now) <= TOLERANCE:
+            return now
+    if rounds is None:
+        raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     return now
 
 
+def _moved(before: DataFrame, now: DataFrame) -> float:
+    """The share of ``MASS`` by which ranks differ in all."""
+    signed = now.union(before.select("kind", "host", (-F.col("rank")).alias("rank")))
+    each = signed.groupBy("kind", "host").agg(F.abs(F.sum("rank")).cast("double").alias("moved"))
+    return (each.agg(F.sum("moved")).first()[0] or 0.0) / MASS
+
+
 def judged(
     pages: DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
     rules: tuple[tuple[str, str, str], ...] = RULES,
-    rounds: int = ROUNDS,
+    rounds: int | None = ROUNDS,
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, trust, distrust)`` for every page.
 
