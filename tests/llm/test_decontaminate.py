@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -73,6 +74,28 @@ def test_proximity(spark):
     assert starts("c b a", "a b c", 4) != []
 
 
+def test_proximity_stays_inside_a_document(spark):
+    def hits(texts, item, slop):
+        d = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").coalesce(1)
+        b = spark.createDataFrame([(1, item)], "item_id long, text string")
+        return {r.id: [(m.start, m.end) for m in r.matches] for r in dc.search(dc.build_index(d), b, slop=slop).collect()}
+
+    assert hits(["a b", "c z"], "a b c", 1) == {1: [], 2: []}
+    assert hits(["b a a", "z z z"], "a b", 2) == {1: [(0, 1)], 2: []}
+    rng = random.Random(4)
+    for _ in range(12):
+        texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(7))) for _ in range(5)]
+        item, slop = " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 4))), rng.randrange(4)
+        found = hits(texts, item, slop)
+        for i, text in enumerate(texts, 1):
+            mine, theirs = text.split(), item.split()
+            near = any(all(any(s - slop <= k - j <= s + slop and x == y for k, x in enumerate(mine)) for j, y in enumerate(theirs)) for s in range(-3, 9))
+            assert not found[i] or near, (texts, item, slop)
+            exact = any(mine[s : s + len(theirs)] == theirs for s in range(len(mine)))
+            assert found[i] or not exact, (texts, item, slop)
+            assert all(0 <= a < b <= len(mine) for a, b in found[i])
+
+
 @pytest.mark.parametrize("top", [100, 20_000, 1 << 33])
 def test_varint_round_trip(top):
     rng = np.random.default_rng(top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import checkpointed
+from waymark.llm.shared import staged
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,12 +14,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Only nodes with an edge to another node appear. Each round is two min-aggregations and two equi-joins on
     node keys, all of which AQE can split where a hub is hot; rounds grow with the logarithm of a chain's length.
     """
-    now = checkpointed(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    )
+    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     state = _state(now)
     for _ in range(max_rounds):
-        now = checkpointed(_small_star(_large_star(now)))
+        now = staged(_small_star(_large_star(now)), "stars")
         after = _state(now)
         if after == state:
             break

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import checkpointed, id_and_text, staged, text_slices
+from waymark.llm.shared import id_and_text, numbered, staged, text_slices
 
 WINDOW = 13
 ITEM_BLOCK_BYTES = 2 << 20
@@ -147,40 +147,43 @@ class Segment:
             return np.full(len(terms), -1, np.int64)
         return pc.index_in(terms, value_set=self.terms).fill_null(-1).to_numpy().astype(np.int64)
 
-    def find(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Window number and start position of every occurrence; with ``slop``, every term may stand that many words
-        off its place, measured from the rarest term."""
+    def find(self, windows: Windows, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Window number, start position and document of every occurrence; with ``slop``, every term may stand that many
+        words off its place, measured from the rarest term, inside the rarest term's document."""
         empty = np.zeros(0, np.int64)
         if not len(windows.rows):
-            return empty, empty
+            return empty, empty, empty
         mine = np.append(self.numbers(windows.terms), -2)[windows.rows]  # -1, the padding, reads the added -2
-        which, starts = [empty], [empty]
+        which, starts, docs = [empty], [empty], [empty]
         sizes = np.diff(self.list_offsets)
         for w in np.flatnonzero((mine != -1).all(axis=1)).tolist():
             terms = mine[w, : windows.lengths[w]]
             order = np.argsort(sizes[terms], kind="stable").tolist()
-            at = self.positions(terms[order[0]]) - order[0]
+            at = self.positions(terms[order[0]])
+            own = np.searchsorted(self.bases, at, "right") - 1
             for j in order[1:]:
                 if not len(at):
                     break
-                other = self.positions(terms[j]) - j
-                k = np.searchsorted(other, at - slop)  # the first that isn't too early
-                at = at[(k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= at + slop)]
+                other, place = self.positions(terms[j]), at - order[0] + j
+                least = np.maximum(place - slop, self.bases[own])
+                most = np.minimum(place + slop, self.bases[own] + self.n_words[own] - 1)
+                k = np.searchsorted(other, least)  # the first that isn't too early
+                there = (k < len(other)) & (other[np.minimum(k, len(other) - 1)] <= most)
+                at, own = at[there], own[there]
             which.append(np.full(len(at), w))
-            starts.append(at)
-        return np.concatenate(which), np.concatenate(starts)
+            starts.append(at - order[0])
+            docs.append(own)
+        return np.concatenate(which), np.concatenate(starts), np.concatenate(docs)
 
     def matches(self, windows: Windows, slop: int = 0) -> list[list[dict]]:
         """For each document the word intervals of each item's occurrences, joined where they touch."""
         out: list[list[dict]] = [[] for _ in range(len(self.ids))]
-        which, starts = self.find(windows, slop)
+        which, starts, docs = self.find(windows, slop)
         if not len(which):
             return out
-        docs = np.searchsorted(self.bases, starts, "right") - 1
-        if slop:  # a shifted window may begin before its document or end behind it
-            starts = np.maximum(starts, self.bases[docs])
         starts = starts - self.bases[docs]
         ends = np.minimum(starts + np.array(windows.lengths)[which], self.n_words[docs])
+        starts = np.maximum(starts, 0)  # a shifted window may begin before its document or end behind it
         names, items = np.unique(np.array(windows.items, dtype=object).astype(str), return_inverse=True)
         items = items[which]
         last = None
@@ -216,7 +219,8 @@ def search(
 ) -> DataFrame:
     """Every indexed document with the word intervals that test windows hit: ``(segment, k, id, n_words, matches)``.
 
-    ``slop`` 0 gives exact phrases, more gives proximity matches. Items without words match nothing.
+    ``slop`` 0 gives exact phrases, more gives proximity matches, always within one document. Items without words, id or
+    text match nothing; documents without words, id or text have no matches but a row each; repeated rows have one each.
     """
     names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
 
@@ -277,24 +281,17 @@ def report(found: DataFrame, share: int = 20) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     """Index ``docs`` and report every document's exact benchmark hits. One row per input row; a null text has no
-    words; repeated rows are reported each; a null id stays null."""
+    words; repeated rows are reported each; a null id stays null. Repeated items count once."""
     return report(search(staged(build_index(docs), "postings"), items, **how))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, columns as they are. Rows with a null id are kept.
-
-    Where an id stands on contaminated and on clean rows, those rows are numbered and judged each.
-    """
-    judged = contamination(docs, items, **how).filter("id is not null").groupBy(F.col("id").alias("doc_id"))
-    some = judged.agg(F.bool_or("contaminated").alias("bad"), F.bool_and("contaminated").alias("all_bad")).filter("bad")
-    some = staged(some, "contaminated")
-    clean = docs.join(some, "doc_id", "left_anti")
-    mixed = checkpointed(some.filter("not all_bad").select("doc_id"))
-    if mixed.isEmpty():
-        return clean
-    numbered = docs.join(mixed, "doc_id", "left_semi").withColumn("__row", F.monotonically_increasing_id())
-    numbered = staged(numbered, "mixed-rows")
-    rows = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), items, **how)
-    bad = staged(rows.filter("contaminated").select(F.col("id").alias("__row")), "contaminated-rows")
-    return clean.unionByName(numbered.join(bad, "__row", "left_anti").drop("__row"))
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, columns as they are. Rows are judged each: a null or repeated id
+    saves no contaminated row and costs no clean one. Null and empty texts stay. ``id_col`` need not be unique, as it
+    decides nothing."""
+    if id_col not in docs.columns:
+        raise ValueError(f"no column {id_col}")
+    held, row = numbered(docs, "rows")
+    found = search(staged(build_index(held, row, text_col), "postings"), items, **how)
+    bad = staged(report(found).filter("contaminated").select(F.col("id").alias(row)), "contaminated")
+    return held.join(bad, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,20 +8,23 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests on one machine) a temporary folder is made and set.
+    Where it is unset, a temporary folder is made and set on a local master; on a cluster that is an error, as executors
+    would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: driver and executors need a folder that they share")
         found = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -61,10 +64,26 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder, for small tables inside a loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` of ``rows``, those whose hash of ``key`` is lowest; all, if they are fewer. One count, no sort."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front until no column of ``df`` has that name in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and that column's name; the written table fixes the numbers."""
+    row = free_name(df, "__row")
+    return staged(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

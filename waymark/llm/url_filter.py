@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import checkpointed, staged
+from waymark.llm.shared import staged
 
 RULES = (
     ("block", "com", "/en/"),
@@ -95,13 +95,13 @@ def propagated(edges: DataFrame, seeded: DataFrame, rounds: int | None = ROUNDS,
     ways = staged(ways.join(degrees, ["kind", "src"]), "host-ways")
     totals = seeded.groupBy("kind").agg(F.sum("weight").alias("total"))
     base = seeded.join(F.broadcast(totals), "kind")  # two rows
-    base = checkpointed(base.select("kind", "host", F.expr(f"weight * ({MASS} div total)").alias("rank")))
+    base = staged(base.select("kind", "host", F.expr(f"weight * ({MASS} div total)").alias("rank")), "base-ranks")
     restart = base.select("kind", "host", F.expr(f"rank div 100 * {100 - damping}").alias("rank"))
     now = base
     for _ in range(MOST_ROUNDS if rounds is None else rounds):
         sent = ways.join(now.withColumnRenamed("host", "src"), ["kind", "src"])
         sent = sent.select("kind", F.col("dst").alias("host"), F.expr(f"rank div 100 * {damping} div degree").alias("rank"))
-        before, now = now, checkpointed(restart.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
+        before, now = now, staged(restart.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
         if rounds is None and _moved(before, now) <= TOLERANCE:
             return now
     if rounds is None:
@@ -133,7 +133,7 @@ def judged(
     ruled = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = ruled.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "r.rule", "r.verdict")
     ruled = staged(ruled, "ruled-pages")
-    edges = checkpointed(host_edges(pages, url_col, html_col))
+    edges = staged(host_edges(pages, url_col, html_col), "host-edges")
     ranks = propagated(edges, seeds(ruled), rounds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0)).alias(kind)
     hosts = staged(ranks.groupBy("host").agg(of("trust"), of("distrust")), "host-ranks")
