@@ -82,20 +82,31 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
 
 def op10_line_dedup() -> str:
+    d = line_dedup
     return f"""
-WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM split),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-ends AS (SELECT *, i = n - 1 OR (h + {line_dedup.FACTOR} * coalesce(lag(h) OVER w, 0)) % {line_dedup.DIVISOR} = 0 AS is_end
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '{d.WORD}')) AS w FROM lines),
+ends AS (SELECT *, i = n - 1 OR (h + {d.FACTOR} * coalesce(lag(h) OVER s, 0)) % {d.DIVISOR} = 0 AS is_end
+  FROM hashed WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
   FROM ends),
-chunks AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM numbered GROUP BY doc_id, k),
-ranked AS (SELECT *, size >= {line_dedup.MIN_LINES} AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text,
-  coalesce(sum(size), 0)::BIGINT AS lines_before, coalesce(sum(size) FILTER (NOT gone), 0)::BIGINT AS lines_after,
-  count(*) FILTER (gone) AS chunks_removed
-FROM documents d LEFT JOIN ranked r ON d.doc_id = r.doc_id GROUP BY d.doc_id, d.text"""
+chunks AS (SELECT doc_id, min(i) AS i, max(i) + 1 AS j FROM numbered GROUP BY doc_id, k HAVING count(*) >= {d.MIN_LINES}),
+sums AS (SELECT doc_id, i, w, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM hashed),
+least AS (
+  SELECT a.doc_id, a.i, min(b.i) + 1 AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.upto > a.upto - a.w + {d.WORDS} WHERE a.w > 0 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.i) AS i, b.i + 1 AS j FROM sums b JOIN sums a ON a.doc_id = b.doc_id AND a.w > 0 AND b.upto > a.upto - a.w + {d.WORDS}
+    AND a.i <= b.i WHERE b.w > 0 GROUP BY b.doc_id, b.i),
+spans AS (SELECT doc_id, i, j, array_to_string(l[i + 1:j], chr(10)) AS passage
+  FROM (SELECT * FROM chunks UNION SELECT * FROM least) JOIN split USING (doc_id)),
+firsts AS (SELECT passage, min((doc_id, i)) AS first FROM spans GROUP BY passage HAVING count(*) > 1),
+gone AS (SELECT doc_id, i, j FROM spans JOIN firsts USING (passage) WHERE (doc_id, i) <> first),
+lost AS (SELECT DISTINCT doc_id, unnest(range(i, j)) AS i FROM gone),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS lines FROM lines ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS passages FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+  coalesce(len(s.l), 0)::BIGINT AS lines_before, coalesce(k.lines, 0) AS lines_after, coalesce(r.passages, 0) AS passages_removed
+FROM documents d LEFT JOIN split s USING (doc_id) LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
