@@ -1,35 +1,12 @@
 """Each stage on its own input against brute force over the rows that the stage before kept."""
 
-import hashlib
-from collections import defaultdict
-
 import corpus_pipeline as pipeline
+from tests.llm.brute import brute_lines, similar_groups
 from tests.llm.test_decontaminate import brute as brute_hits
-from tests.llm.test_simhash import brute_components, brute_print
 from waymark.llm import quality, unigram
 from waymark.llm.shared import tokenizer_path
 
 
-def chunks(lines):
-    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
-    out, now = [], []
-    for k, line in enumerate(lines):
-        now.append(line)
-        if (number(line) + (31 * number(lines[k - 1]) if k else 0)) % 3 == 0 or k == len(lines) - 1:
-            out.append("\n".join(now))
-            now = []
-    return out
-
-
-def brute_lines(texts):
-    places = defaultdict(list)
-    for i in sorted(texts):
-        for k, chunk in enumerate(chunks(texts[i].split("\n"))):
-            if "\n" in chunk:
-                places[chunk].append((i, k))
-    return {i: "\n".join(c for k, c in enumerate(chunks(t.split("\n"))) if "\n" not in c or places[c][0] == (i, k)) for i, t in texts.items()}
-
-
 def test_stages_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, held = docs.columns, []
@@ -46,7 +23,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(held[0][i] == source[i] for i in held[0])
 
     assert texts[1] == brute_lines(texts[0])
-    groups = brute_components({i: brute_print(t) for i, t in texts[1].items()})
+    groups = similar_groups(texts[1])
     assert texts[2] == {i: t for i, t in texts[1].items() if groups[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute_hits(list(texts[2].items()), items) if r[5]}
@@ -70,9 +47,13 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
             assert out.count() <= frame.count(), name
 
 
-def test_run(spark, sf_dir):
+def test_run_against_its_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
     out = pipeline.run(spark, sf_dir)
     assert out.columns[-1] == "token_ids" and out.filter("size(token_ids) = 0 and text <> ''").count() == 0
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
 
 
 def test_quality_held_out(spark):

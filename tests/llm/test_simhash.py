@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from waymark.llm import simhash
+from waymark.llm import queries, simhash
 
 SCHEMA = "doc_id long, text string, id string, fp string, component string"
 
@@ -16,9 +16,9 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
-    """id -> smallest id over links of at most two bits."""
-    ids = sorted(i for i in prints if i is not None)
+def components(keys, linked):
+    """key -> smallest key over the links of all pairs."""
+    ids = sorted(keys)
     root = {i: i for i in ids}
 
     def find(i):
@@ -28,12 +28,17 @@ def brute_components(prints):
 
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            if bin(prints[a] ^ prints[b]).count("1") <= 2:
+            if linked(a, b):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
 
+def brute_components(prints):
+    """id -> smallest id over links of at most two bits."""
+    return components(prints, lambda a, b: bin(prints[a] ^ prints[b]).count("1") <= 2)
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prints = {r.doc_id: brute_print(r.text) for r in docs.collect()}
@@ -72,12 +77,21 @@ def test_nulls_empty_repeats_and_clashing_columns(spark):
     got = sorted(((r.id, r.component) for r in simhash.near_duplicates(docs).collect()), key=str)
     want = [(5, 3), (3, 3), (4, 3), (9, 8), (8, 8), (7, 7), (7, 7), (None, 7), (11, 10), (10, 10), (12, 12), (13, 13)]
     assert got == sorted(want, key=str)
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "8", "7", "10", "12", "13", "None"])
+
+
+def test_rows_without_an_id_tie_others(spark):
+    rows = [(1, 0), (None, 0b11), (2, 0b1111), (None, 1 << 40), (9, 0b111 << 50), (None, 0b111 << 50)]
+    got = simhash.with_components(spark.createDataFrame(rows, "id long, fp long")).collect()
+    assert sorted(((r.id, r.component) for r in got), key=str) == sorted([(1, 1), (None, 1), (2, 1), (None, 1), (9, 9), (None, 9)], key=str)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    got = queries.queries()["op8_simhash"](spark, sf_dir).collect()
+    prints = {r.doc_id: brute_print(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = brute_components(prints)
+    assert sorted(tuple(r) for r in got) == sorted((i, f"{prints[i]:016x}", want[i]) for i in prints)
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(docs).count() == 0
-    assert simhash.representatives(docs).count() == 0

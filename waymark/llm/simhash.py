@@ -4,7 +4,7 @@ Two fingerprints of 64 bits that differ in at most two bits differ in at most on
 32-bit halves. Each half is indexed under its 32 one-wildcard variants, so such a pair meets under one equal key
 at least; candidates that meet are verified on all 64 bits. Keys that many different fingerprints share are
 taken apart again by the same rule on the half not yet used, then by two-wildcard keys, under which at most
-eight fingerprints can meet. So nothing is capped and no group is compared pairwise beyond ``pairwise`` members.
+four fingerprints can meet. So nothing is capped and no group is compared pairwise beyond ``pairwise`` members.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
-from waymark.llm.shared import checkpointed, id_and_text, staged, text_slices
+from waymark.llm.shared import id_and_text, staged, text_slices
 
 SEED = 42
 BITS = 2
@@ -72,32 +72,24 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, fp, component)``: the smallest id reachable over links of at most two differing bits.
 
-    One row per input row, whatever its other columns are. Rows with a null id take part in links but have no id
-    to give; a group of such rows alone has a null component. Repeated rows share id, fingerprint and component.
+    One row per input row, whatever its other columns are. Rows with a null id link as others do but have no id to
+    give; a group of such rows alone has a null component. Repeated rows share id, fingerprint and component.
     """
     prints = staged(fingerprints(docs, id_col, text_col, shingle), "prints")
     return with_components(prints, pairwise)
 
 
 def with_components(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """``prints(id, fp)`` with its component. Texts are not needed; exact copies are one row from here on."""
-    by_print = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    reps = staged(by_print, "reps")
-    links = checkpointed(linked(reps.filter("rep is not null"), pairwise))
-    groups = connected_components(links).select(F.col("node").alias("rep"), "component")
-    named = reps.join(groups, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select("id", "fp", "component")
-
-
-def _grouped(prints: DataFrame, pairwise: int) -> DataFrame:
-    """``prints(id, fp)`` with its ``group``, a fingerprint, and the group's smallest id as component. Fingerprints are
-    linked here, not ids: different texts under one id tie no groups together."""
-    reps = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    links = checkpointed(linked(reps.filter("rep is not null").select("fp", F.col("fp").alias("rep")), pairwise))
+    """``prints(id, fp)`` with its component. Texts are not needed; exact copies are one row from here on.
+
+    Fingerprints are linked, not ids: rows without an id tie groups too, and different texts under one id tie none.
+    """
+    reps = staged(prints.groupBy("fp").agg(F.min("id").alias("least")), "reps")
+    links = staged(linked(reps.select("fp", F.col("fp").alias("rep")), pairwise), "links")
     groups = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    named = staged(reps.join(groups, "fp", "left").select("fp", "rep", F.coalesce("group", "fp").alias("group")), "groups")
-    least = named.groupBy("group").agg(F.min("rep").alias("component"))
-    return prints.join(named.join(least, "group").select("fp", "group", "component"), "fp")
+    named = staged(reps.join(groups, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group")), "groups")
+    least = named.groupBy("group").agg(F.min("least").alias("component"))
+    return prints.join(named.join(least, "group").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
 def linked(reps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
@@ -111,12 +103,12 @@ def linked(reps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
         ),
     )
     keyed = reps.select(F.explode(F.concat(wild(0), wild(1))).alias("key"), "fp", "rep")
-    met = checkpointed(_meet(keyed, pairwise))
+    met = staged(_meet(keyed, pairwise), "met")
     out = met.filter("b is not null").select("a", "b")
     crowded = met.filter("b is null").select("key", "fp", F.col("a").alias("rep"))
     if crowded.isEmpty():
         return out.distinct()
-    again = checkpointed(_meet(crowded.mapInArrow(_rekey_halves, "key long, fp long, rep long"), pairwise))
+    again = staged(_meet(crowded.mapInArrow(_rekey_halves, "key long, fp long, rep long"), pairwise), "met-again")
     out = out.union(again.filter("b is not null").select("a", "b"))
     crowded = again.filter("b is null").select("key", "fp", F.col("a").alias("rep"))
     if not crowded.isEmpty():
@@ -239,29 +231,3 @@ def _rekey_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(keys.reshape(-1)), pa.array(np.repeat(fp, len(masks))), pa.array(np.repeat(rep, len(masks)))],
             names=["key", "fp", "rep"],
         )
-
-
-def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, pairwise: int = PAIRWISE
-) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, one row of each group; columns stay as they are.
-
-    Rows repeated under the kept id are one row if their texts are near copies, that of the smallest text; unrelated
-    texts under one id are judged each. Rows with a null id are kept, as nothing names them.
-    """
-    found = staged(_grouped(staged(fingerprints(docs, id_col, text_col, shingle), "prints"), pairwise), "grouped")
-    named = found.filter("id is not null").groupBy(F.col("id").alias(id_col))
-    repeated = checkpointed(named.count().filter("count > 1").select(id_col))
-    gone = found.filter("id is not null and id <> component").select(F.col("id").alias(id_col)).distinct()
-    if repeated.isEmpty():
-        return docs.join(gone, id_col, "left_anti")
-    single = docs.join(repeated, id_col, "left_anti").join(gone, id_col, "left_anti")
-    again = docs.join(repeated, id_col, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
-    numbered = staged(again.withColumn("__row", F.monotonically_increasing_id()), "repeated-rows")
-    of_row = fingerprints(numbered, "__row", text_col, shingle).select(F.col("id").alias("__row"), "fp")
-    stays = found.filter("id = component").select(F.col("id").alias("__id"), "fp", "group").distinct()
-    keyed = numbered.select("__row", F.col(f"`{id_col}`").alias("__id")).join(of_row, "__row").join(stays, ["__id", "fp"])
-    met = numbered.join(keyed.select("__row", "__id", F.col("group").alias("__group")), "__row")
-    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.coalesce(text_col, F.lit("")), "__row"))
-    kept = met.groupBy("__id", "__group").agg(first.alias("__kept"))
-    return single.unionByName(kept.select("__kept.*"))
