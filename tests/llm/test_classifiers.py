@@ -1,5 +1,8 @@
 import math
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,19 +67,71 @@ def test_odd_rows(spark):
     assert quality.scored(docs.limit(0), quality.fit(docs, labels)).count() == 0
 
 
-def test_context_sums_against_brute_force():
-    rng = random.Random(2)
-    texts = [" ".join(rng.choice(["The", "cat", "SAT", "on!!", "9", "|", "cat"]) for _ in range(rng.randrange(0, 12))).encode() for _ in range(40)]
-    index, want = quality.index_vectors().astype(np.int64), np.zeros((quality.BUCKETS + quality.SHAPES, quality.DIMENSIONS), np.int64)
+def plain_tokens(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]+", text)
+
+
+def bucket(token):
+    return int(quality.tokens([token])[0][0])
+
+
+def some_texts(seed, n=40):
+    rng = random.Random(seed)
+    words = ["The", "cat", "SAT", "on!!", "9", "|", "cat", "über", "a-b", "%%%", "x"]
+    return [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))).encode() for _ in range(n)]
+
+
+def test_tokens_against_a_pattern():
+    texts = some_texts(1) + [b"", b" ", b"!a!!b", "日本語 テキスト".encode()]
+    found, counts = quality.tokens(texts)
+    assert counts.tolist() == [len(plain_tokens(t)) for t in texts]
+    assert found.tolist() == [bucket(w) for t in texts for w in plain_tokens(t)]
+
+
+def plain_sums(texts):
+    index = quality.index_vectors().astype(int)
+    seen, sums = Counter(), defaultdict(lambda: np.zeros(quality.DIMENSIONS, int))
     for text in texts:
-        words, shapes, _ = quality.tokens([text])
-        for i in range(len(words)):
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(words):
-                    near = index[words[j]] + index[quality.BUCKETS + int(shapes[j])]
-                    want[words[i]] += near
-                    want[quality.BUCKETS + int(shapes[i])] += near
-    assert (quality.context_sums(iter([texts[:15], texts[15:]])) == want).all()
+        words = [bucket(w) for w in plain_tokens(text)]
+        for k, w in enumerate(words):
+            seen[w] += 1
+            for d in (-2, -1, 1, 2):
+                if 0 <= k + d < len(words):
+                    sums[w] = sums[w] + np.roll(index[words[k + d]], d)
+    return seen, sums
+
+
+def test_context_sums_against_brute_force():
+    texts = some_texts(2)
+    seen, sums = quality.context_sums(iter([texts[:15], texts[15:], [b""], [b"x"]]))
+    want_seen, want = plain_sums([*texts, b"x"])
+    assert {k: int(seen[k]) for k in np.flatnonzero(seen)} == dict(want_seen)
+    assert all((sums[k] == want[k]).all() for k in want_seen) and not sums[[k for k in range(len(sums)) if k not in want]].any()
+
+
+def test_quality_query_against_a_plain_forward_pass(spark, sf_dir):
+    """Scores of the fitted model, from word vectors made and pooled one token at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    model = quality.fit(docs, labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    got = {r.doc_id: r for r in queries.queries()["op1_quality"](spark, sf_dir).collect()}
+    seen, sums = plain_sums(texts.values())
+    unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, v in sums.items()}
+    weight = {k: 1e-3 / (1e-3 + n / sum(seen.values())) for k, n in seen.items()}
+    w1, b1, w2, b2 = (x.astype(float) for x in model.layers)
+    assert got.keys() == texts.keys()
+    for i, text in list(texts.items())[:60]:
+        words = [bucket(w) for w in plain_tokens(text)]
+        zero = np.zeros(quality.DIMENSIONS)
+        of, total = [unit.get(w, zero) for w in words], max(sum(weight[w] for w in words), 1e-9)
+        mean = sum((weight[w] * v for w, v in zip(words, of, strict=True)), zero) / total
+        spread = np.sqrt(np.maximum(sum((weight[w] * v * v for w, v in zip(words, of, strict=True)), zero) / total - mean * mean, 0))
+        product = sum((x * y for x, y in zip(of, of[1:], strict=False)), zero) / max(len(of) - 1, 1)
+        x = (np.concatenate([mean, spread, product]) - model.mean) / model.scale
+        z = (np.tanh(x @ w1 + b1) @ w2 + b2)[0] / model.temperature
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-3)
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
 def test_network_learns_and_is_calibrated():
@@ -84,7 +139,7 @@ def test_network_learns_and_is_calibrated():
     x = rng.normal(size=(3000, 6)).astype(np.float32)
     p = 1 / (1 + np.exp(-2 * x[:, 0] * x[:, 1]))
     y = (rng.random(3000) < p).astype(float)
-    model = quality.train(x, y, np.zeros((1, 1)))
+    model = quality.train(x, y, np.zeros((1, 1)), np.zeros(1))
     got = 1 / (1 + np.exp(-model.logits(x) / model.temperature))
     assert np.mean((got > 0.5) == (p > 0.5)) > 0.85 and abs(got.mean() - y.mean()) < 0.05 and 0.2 < model.temperature < 13
 

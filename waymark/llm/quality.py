@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Every word bucket and every token shape has a sparse ternary index vector from a fixed seed. A vector is the sum
-of the index vectors of what stands beside a word or shape, over the whole corpus; the number of buckets is fixed,
-so the table that tasks receive has one size at any input. A document is the mean of its words' and of its
-shapes' unit vectors. The network's outputs are turned into probabilities at a temperature fitted on held-back rows.
+Tokens are runs of word characters and runs of signs as they are written, letter case included. Each of many hashed
+token buckets has a sparse ternary index vector from a fixed seed. A bucket's vector is the sum of the index vectors of
+the tokens up to two places before and after it over the whole corpus, turned by one place more for each position, so
+that a vector tells what stands where around a token. The number of buckets is fixed, so the table that tasks receive
+has one size at any input. A document is the mean of its tokens' unit vectors, frequent tokens weighing less, their
+spread around that mean and the mean product of successive vectors. The network's outputs become probabilities at a temperature fitted on held-back rows.
 """
 
 from __future__ import annotations
@@ -16,126 +18,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.hashing import SpanHashes, spans, text_ends
-from waymark.llm.shared import id_and_text, text_slices
+from waymark.llm.hashing import SpanHashes, text_ends
+from waymark.llm.shared import id_and_text, sampled, text_slices
 
-BUCKETS = 8192
-SHAPES = 64
-DIMENSIONS = 32
-NONZERO = 4
+BUCKET_BITS = 15
+DIMENSIONS = 48
+NONZERO = 6
+POOLINGS = 3
+OFFSETS = (-2, -1, 1, 2)
+COMMON = 1e-3
 SAMPLE_ROWS = 12_000
 HIDDEN = 24
 EPOCHS = 60
 THRESHOLD = 0.3
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_CLASS = np.zeros((4, 256), np.int32)  # upper, lower (or beyond ASCII), digit, other
-_CLASS[0, 65:91] = _CLASS[1, 97:123] = _CLASS[1, 128:] = _CLASS[2, 48:58] = 1
-_CLASS[3] = 1 - _CLASS[:3].max(axis=0) - _SPACE
-_LETTERS = np.arange(256, dtype=np.uint8)
-_LETTERS[65:91] += 32
-_LETTERS[_CLASS[3] + _SPACE > 0] = 0
+_KIND = np.full(256, 2, np.uint8)  # white space 0, word characters (all beyond ASCII among them) 1, signs 2
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 
 def index_vectors() -> np.ndarray:
-    """Ternary vectors of all buckets, then of all shapes."""
+    """The ternary vectors of all buckets."""
     rng = np.random.default_rng(17)
-    out = np.zeros((BUCKETS + SHAPES, DIMENSIONS), np.int16)
-    for sign in (1, -1):
-        at = rng.random(out.shape).argsort(axis=1)[:, : NONZERO // 2]
-        np.put_along_axis(out, at, sign, axis=1)
+    out = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.int8)
+    at = rng.random(out.shape, np.float32).argsort(axis=1)[:, :NONZERO]
+    np.put_along_axis(out, at[:, : NONZERO // 2], 1, axis=1)
+    np.put_along_axis(out, at[:, NONZERO // 2 :], -1, axis=1)
     return out
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and shape of every token between white space, and each text's number of tokens.
-
-    A shape tells letter case, digits, the number of other characters and whether a word follows itself.
-    """
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every token, and each text's number of tokens."""
     buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    starts, ends = spans(~_SPACE[buf])
+    kind = _KIND[buf]
+    edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
+    begins = kind[edge[:-1]] > 0 if len(edge) else np.zeros(0, bool)
+    starts, ends = edge[:-1][begins], edge[1:][begins]
     counts = np.diff(np.searchsorted(starts, text_ends(texts)), prepend=0)
-    hashes = SpanHashes(_LETTERS[buf]).of(starts, ends)
-    upper, lower, digit, other = (
-        (total := np.concatenate([[0], np.cumsum(row[buf], dtype=np.int32)]))[ends] - total[starts] for row in _CLASS
-    )
-    letters = upper + lower
-    kind = np.select(
-        [letters + digit == 0, letters == 0, digit > 0, (upper >= 2) & (lower == 0), upper >= 2, upper == 1],
-        [6, 5, 4, 3, 2, 1],
-        0,
-    )
-    again = np.zeros(len(starts), np.int64)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (letters[1:] > 0)
-    again[(np.cumsum(counts) - counts)[counts > 0]] = 0  # a text's first word follows none
-    return (hashes >> np.uint64(51)).astype(np.uint16), (kind * 8 + np.minimum(other, 3) * 2 + again).astype(np.uint8), counts
-
-
-def context_sums(batches: Iterator[list[bytes]]) -> np.ndarray:
-    """Sums of the index vectors beside each bucket and shape."""
-    index, out = index_vectors(), np.zeros((BUCKETS + SHAPES, DIMENSIONS), np.int64)
+    return (SpanHashes(buf).of(starts, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16), counts
+
+
+def context_sums(batches: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket occurs, and the sums of the turned index vectors around it."""
+    index = index_vectors()
+    turned = {d: np.roll(index, d, axis=1) for d in OFFSETS}
+    out, seen = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.int32), np.zeros(1 << BUCKET_BITS, np.int64)
     for texts in batches:
-        words, shapes, counts = tokens(texts)
+        words, counts = tokens(texts)
         if not len(words):
             continue
-        own = index[words] + index[BUCKETS + shapes.astype(np.int64)]
-        beside = np.zeros_like(own)
-        beside[1:] += own[:-1]
-        beside[:-1] += own[1:]
-        first = np.cumsum(counts) - counts
-        first = first[counts > 0]
-        edge = first[first > 0]  # nothing stands beside a token across documents
-        beside[edge] -= own[edge - 1]
-        beside[edge - 1] -= own[edge]
-        for base, keys in ((0, words), (BUCKETS, shapes)):
-            order = np.argsort(keys, kind="stable")
-            kept = keys[order]
-            at = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
-            out[base + kept[at].astype(np.int64)] += np.add.reduceat(beside[order], at, axis=0, dtype=np.int64)
-    return out
-
-
-def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Unit vectors of all buckets and shapes, from every whole text of ``docs``.
-
-    A task sends a row for each bucket it met, so ``BUCKETS + SHAPES`` at most; so many come to the driver.
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        around = np.zeros((len(words), DIMENSIONS), np.int8)
+        for d in OFFSETS:  # nothing stands around a token across documents
+            if abs(d) >= len(words):
+                continue
+            mine, other = (slice(None, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(None, d))
+            near = turned[d][words[other]]
+            near[doc[mine] != doc[other]] = 0
+            around[mine] += near
+        order = np.argsort(words, kind="stable")
+        kept = words[order]
+        at = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
+        out[kept[at]] += np.add.reduceat(around[order], at, axis=0, dtype=np.int32)
+        seen += np.bincount(words, minlength=1 << BUCKET_BITS)
+    return seen, out
+
+
+def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of all buckets, and their weights in a document, from every whole text of ``docs``.
+
+    A task sends a row for each bucket it met, so ``1 << BUCKET_BITS`` at most; so many come to the driver.
     """
     names = [f"v{k}" for k in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = context_sums(texts for _, texts in text_slices(batches))
-        met = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(met.astype(np.int32)), *(pa.array(sums[met, k]) for k in range(DIMENSIONS))], names=["bucket", *names]
-        )
-
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names))
-    out = np.zeros((BUCKETS + SHAPES, DIMENSIONS), np.float32)
-    found = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
+        seen, sums = context_sums(texts for _, texts in text_slices(batches))
+        met = np.flatnonzero(seen)
+        columns = [pa.array(met.astype(np.int32)), pa.array(seen[met]), *(pa.array(sums[met, k].astype(np.int64)) for k in range(DIMENSIONS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "seen", *names])
+
+    rows = id_and_text(docs, id_col, text_col).mapInArrow(run, "bucket int, seen long, " + ", ".join(f"{n} long" for n in names))
+    vectors, seen = np.zeros((1 << BUCKET_BITS, DIMENSIONS), np.float32), np.zeros(1 << BUCKET_BITS)
+    found = rows.groupBy("bucket").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).toPandas()
     if len(found):
-        out[found["bucket"].to_numpy()] = found[names].to_numpy(np.float32)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean word vector and mean shape vector of each text; zeros without tokens."""
-    words, shapes, counts = tokens(texts)
-    out = np.zeros((len(texts), 2 * DIMENSIONS), np.float32)
+        at = found["bucket"].to_numpy()
+        vectors[at], seen[at] = found[names].to_numpy(np.float32), found["seen"].to_numpy()
+    share = seen / max(1.0, seen.sum())
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return vectors, (COMMON / (COMMON + share)).astype(np.float32)
+
+
+def pooled(texts: list[bytes], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Three poolings of each text's word vectors, by dimension: their weighted mean, their standard deviation from it,
+    and the mean product of successive vectors; zeros without tokens."""
+    words, counts = tokens(texts)
+    out = np.zeros((len(texts), POOLINGS * DIMENSIONS), np.float32)
     some = np.flatnonzero(counts)
     if len(some):
         at = (np.cumsum(counts) - counts)[some]
-        for k, keys in enumerate((words, shapes.astype(np.int64) + BUCKETS)):
-            sums = np.add.reduceat(vectors[keys], at, axis=0)
-            out[some, k * DIMENSIONS : (k + 1) * DIMENSIONS] = sums / counts[some, None]
+        held, weight = vectors[words], weights[words][:, None]
+        total = np.add.reduceat(weight, at, axis=0, dtype=np.float64)
+        mean = np.add.reduceat(held * weight, at, axis=0, dtype=np.float64) / total
+        square = np.add.reduceat(held * held * weight, at, axis=0, dtype=np.float64) / total
+        product = np.zeros_like(held)
+        np.multiply(held[1:], held[:-1], out=product[1:])
+        product[at] = 0  # a text's first token follows none
+        out[some, :DIMENSIONS] = mean
+        out[some, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[some, 2 * DIMENSIONS :] = np.add.reduceat(product, at, axis=0, dtype=np.float64) / np.maximum(counts[some] - 1, 1)[:, None]
     return out
 
 
 @dataclass
 class QualityModel:
-    """Word vectors, a network of two layers and its temperature."""
+    """Word vectors and weights, a network of two layers and its temperature."""
 
     vectors: np.ndarray
+    weights: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     layers: list[np.ndarray]
@@ -147,14 +146,14 @@ class QualityModel:
         return (np.tanh(x @ w1 + b1) @ w2 + b2)[:, 0]
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
-        return _sigmoid(self.logits(pooled(texts, self.vectors)).astype(np.float64) / self.temperature)
+        return _sigmoid(self.logits(pooled(texts, self.vectors, self.weights)).astype(np.float64) / self.temperature)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: int = 5) -> QualityModel:
+def train(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, weights: np.ndarray, seed: int = 5) -> QualityModel:
     """A network by Adam on the logistic loss; every sixth row is held back for the temperature."""
     rng = np.random.default_rng(seed)
     n, d = features.shape
@@ -162,7 +161,7 @@ def train(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, seed: i
     mean = features.mean(axis=0) if n else np.zeros(d, np.float32)
     scale = features.std(axis=0) + 1e-3 if n else np.ones(d, np.float32)
     layers = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)]
-    model = QualityModel(vectors, mean, scale, [w.astype(np.float32) for w in layers])
+    model = QualityModel(vectors, weights, mean, scale, [w.astype(np.float32) for w in layers])
     x, y = ((features - mean) / scale)[~held].astype(np.float32), labels[~held].astype(np.float32)
     if not len(x) or y.min() == y.max():
         model.layers[2][:] = 0
@@ -200,29 +199,30 @@ def fit(
     text_col: str = "text",
     sample_rows: int = SAMPLE_ROWS,
 ) -> QualityModel:
-    """Word vectors from all of ``docs``; the network from ``labels`` (id, 0 or 1), of which ``sample_rows`` at most
-    are used, the first by a hash of the id. Rows without id, label or text don't count; without labels of both
-    kinds the model gives one constant."""
-    vectors = word_vectors(docs, id_col, text_col)
+    """Word vectors from all of ``docs``; the network from ``labels`` (id, 0 or 1), of which about ``sample_rows`` are
+    used, by a hash of the id. Rows without id, label or text don't count; of an id's contradicting labels the larger
+    counts, of its texts the one whose features come first; without labels of both kinds the model gives one constant."""
+    vectors, weights = word_vectors(docs, id_col, text_col)
     picked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y"))
-    picked = picked.filter("id is not null and y in (0, 1)").orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
-    rows = id_and_text(docs, id_col, text_col).filter("text is not null").join(F.broadcast(picked), "id")  # sample_rows at most
+    picked = sampled(picked.filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y")), F.col("id"), sample_rows)
+    rows = id_and_text(docs, id_col, text_col).filter("text is not null").join(F.broadcast(picked), "id")  # about sample_rows
     rows = rows.select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, texts in text_slices([batch]):
-                found = pooled(texts, vectors)
+                found = pooled(texts, vectors, weights)
                 labelled = batch.column(2).slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [ids, labelled, pa.array(list(found), pa.list_(pa.float32()))], names=["id", "y", "features"]
                 )
 
-    found = rows.mapInArrow(run, "id long, y double, features array<float>").toPandas().sort_values(["id", "y"], kind="stable")
-    features = np.array(found["features"].tolist(), np.float32).reshape(-1, 2 * DIMENSIONS)
-    return train(features, found["y"].to_numpy(np.float64), vectors)
+    found = rows.mapInArrow(run, "id long, y double, features array<float>").groupBy("id").agg(F.min("y").alias("y"), F.min("features").alias("features"))
+    found = found.toPandas().sort_values("id", kind="stable")
+    features = np.array(found["features"].tolist(), np.float32).reshape(-1, POOLINGS * DIMENSIONS)
+    return train(features, found["y"].to_numpy(np.float64), vectors, weights)
 
 
 def scored(
@@ -242,7 +242,8 @@ def scored(
 
 def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, all columns as they are. Rows pass through one by one,
-    so that null ids and repeated rows are judged each; a null text is judged as an empty one."""
+    so that null ids and repeated rows are judged each; a null text is judged as an empty one; a score equal to
+    ``threshold`` is accepted."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
