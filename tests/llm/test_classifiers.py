@@ -155,11 +155,88 @@ def test_risk_is_corrected_by_the_prior(prior):
         return x
 
     unlabelled = np.concatenate([texts(int(4000 * prior), 1), texts(int(4000 * (1 - prior)), 0)])
-    w, b = toxicity.train(texts(500, 1), unlabelled, prior, 0)
+    w, b = toxicity.train(texts(500, 1), unlabelled, prior)
     score = 1 / (1 + np.exp(-(unlabelled @ w + b)))
     assert score[unlabelled[:, 0] == 1].min() > 0.5 > score[unlabelled[:, 0] == 0].max()
 
 
+def plain_features(text):
+    """Words, and beginnings of four to six bytes of longer words."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower())
+    return set(words) | {w[:k] for w in words for k in (4, 5, 6) if len(w) > k}
+
+
+def test_features_against_a_plain_version():
+    texts = ["", "Stupid stupidity, über-all 12345678 x", "ÄÖ äö", "  a b\nstup"]
+    of, buckets = toxicity.features_of([t.encode() for t in texts])
+    for k, text in enumerate(texts):
+        own = {int(b) for b in buckets[of == k]}
+        assert len(own) == len(plain_features(text.encode()))
+        assert own == {int(b) for b in toxicity.features_of([text.encode()])[1]}
+
+
+@pytest.mark.parametrize("overfit", [False, True])
+def test_risk_sums_against_plain_arithmetic(overfit):
+    rng = np.random.default_rng(3)
+    cells, kinds, hashes = rng.random((60, 9)) < 0.3, rng.random(60) < 0.4, rng.integers(0, 99, 60)
+    weights, offsets = rng.normal(0, 1, (9, 3)), rng.normal(0, 1, 3)
+    u, p = toxicity.risk_sums(np.nonzero(cells)[1], cells.sum(axis=1), kinds, hashes, weights, offsets)
+    trainer = toxicity.Trainer(np.array([(cells[kinds & (hashes % 3 != c)]).mean(axis=0) for c in range(3)]), 1.6 if overfit else 0.05)
+    trainer.weights, trainer.offsets = weights.copy(), offsets.copy()
+    trainer.move(u, p, 60)
+    for c in range(3):
+        def risk(w, b):
+            z, own = cells @ w + b, hashes % 3 != c
+            pos = z[own & kinds]
+            negative = np.logaddexp(0, z[own]).mean() - trainer.prior * np.logaddexp(0, pos).mean()
+            if negative < 0:
+                return -negative, negative
+            return trainer.prior * np.logaddexp(0, -pos).mean() + negative, negative
+
+        assert (risk(weights[:, c], offsets[c])[1] < 0) == overfit
+        for k in range(9):  # the slope by differences has the sign of the step, which Adam's first step keeps
+            up, down = weights[:, c].copy(), weights[:, c].copy()
+            up[k] += 1e-4
+            down[k] -= 1e-4
+            slope = (risk(up, offsets[c])[0] - risk(down, offsets[c])[0]) / 2e-4 + toxicity.DECAY * weights[k, c]
+            assert abs(slope) < 1e-5 or np.sign(weights[k, c] - trainer.weights[k, c]) == np.sign(slope)
+
+
+def test_toxicity_query_against_a_plain_version(spark):
+    """Feature counts, training on all unlabelled texts, and scores, with dictionaries and dense rows."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet").collect(), spark.read.parquet(f"{path}/labels.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    known = {r.doc_id: r.toxic for r in labels if not held(r.doc_id) and r.toxic in (0, 1)}
+    prior = sum(known.values()) / len(known)
+    of = lambda t: {int(b) for b in toxicity.features_of([(t or "").encode()])[1]}
+    own = {r.doc_id: of(r.text) for r in docs}
+    unlabelled = [r.doc_id for r in docs if r.text is not None and not held(r.doc_id)]
+    positive = [i for i in unlabelled if known.get(i) == 1]
+    u, p = Counter(b for i in unlabelled for b in own[i]), Counter(b for i in positive for b in own[i])
+    tp, tu = len(positive), len(unlabelled)
+    lift = {b: ((n - 2 * n**0.5) / tp) / ((u[b] + 2) / tu) for b, n in p.items()}
+    over = {b: (n / tp - u[b] / tu) / ((n + 1) / tp / tp + (u[b] + 1) / tu / tu) ** 0.5 for b, n in p.items()}
+    chosen = sorted((b for b in p if lift[b] >= 2.5 and over[b] >= 3), key=lambda b: (-over[b], b))[:1024]
+    cells = np.array([[b in own[i] for b in chosen] for i in unlabelled], float)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs}
+    want = 0
+    for c in range(3):
+        keep = np.array([zlib.crc32(texts[i]) % 3 != c for i in unlabelled])
+        pos = np.array([i in positive for i in unlabelled]) & keep
+        trainer = toxicity.Trainer(cells[pos].mean(axis=0, keepdims=True), prior)
+        for _ in range(toxicity.ROUNDS):
+            z = cells @ trainer.weights[:, 0] + trainer.offsets[0]
+            sums = [np.r_[(1 / (1 + np.exp(-z[m]))) @ cells[m], (1 / (1 + np.exp(-z[m]))).sum(), np.logaddexp(0, z[m]).sum(), m.sum()] for m in (keep, pos)]
+            trainer.move(sums[0][None], sums[1][None], toxicity.ROUNDS)
+        rows = np.array([[b in own[i] for b in chosen] for i in texts], float)
+        want = want + 1 / (1 + np.exp(-(rows @ trainer.weights[:, 0] + trainer.offsets[0]))) / 3
+    got = {r.doc_id: r for r in queries.queries()["op2_toxicity"](spark, path).collect()}
+    assert len(chosen) > 5 and got.keys() == texts.keys()
+    assert np.allclose([got[i].score for i in texts], want, atol=0.02)
+    assert all(r.held_out == held(i) and r.predicted == (r.score >= 0.5) for i, r in got.items())
+
+
 def test_language_learns_from_the_end_of_long_texts(spark):
     head = "eins zwei drei vier " * 3_000
     rows = [(i, head + "quixotic zephyr vocabulary " * 40, "aa") for i in range(4)] + [(9, "kurz", "aa")]

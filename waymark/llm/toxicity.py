@@ -1,31 +1,35 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Linear numpy classifiers over hashed words and word beginnings are trained on confirmed toxic texts and on
-unlabelled texts. The risk of the negative class is that of the unlabelled texts less the part that the class
+Linear numpy classifiers over hashed words and word beginnings are trained on confirmed toxic texts and on all
+texts as unlabelled, in full passes. The risk of the negative class is that of the unlabelled texts less the part that the class
 prior gives to toxic ones; where that difference would fall below zero, the step undoes the overfit instead.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.hashing import SpanHashes, spans, text_ends
-from waymark.llm.shared import id_and_text, staged, text_slices
+from waymark.llm.shared import id_and_text, sampled, staged, text_slices
 
 BUCKET_BITS = 18
 BEGINNINGS = (4, 5, 6)
 FEATURES = 1024
-POSITIVE_ROWS = 4000
-UNLABELLED_ROWS = 8000
+POSITIVE_ROWS = 20_000
 LEAST_LIFT = 2.5
+LEAST_OVER = 3.0
 CLASSIFIERS = 3
-STEPS = 400
+ROUNDS = 60
+DECAY = 2e-5
+UNIT = 1 << 20
 THRESHOLD = 0.5
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,7 +39,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
 def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text numbers and buckets of all words and word beginnings, repeats included."""
+    """Text number and bucket of every feature that a text has, once each and in order: its words and word
+    beginnings. A beginning that is a word elsewhere is the same feature."""
     buf = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     starts, ends = spans(_WORD[buf])
     doc = np.searchsorted(text_ends(texts), starts, "right")
@@ -44,8 +49,10 @@ def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for k in BEGINNINGS:
         longer = ends - starts > k
         docs.append(doc[longer])
-        found.append(hashes.of(starts[longer], starts[longer] + k) + np.uint64(k))
-    return np.concatenate(docs), (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        found.append(hashes.of(starts[longer], starts[longer] + k))
+    buckets = (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    flat = np.unique(np.concatenate(docs) << BUCKET_BITS | buckets)
+    return flat >> BUCKET_BITS, flat & ((1 << BUCKET_BITS) - 1)
 
 
 @dataclass
@@ -70,32 +77,74 @@ class ToxicityModel:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).mean(axis=1)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and offset of one linear classifier that minimises the non-negative risk with the logistic loss."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, 0.01, positive.shape[1]).astype(np.float32), np.float32(-2)
-    moments = [np.zeros_like(w), np.zeros_like(w), np.float32(0), np.float32(0)]
-    for step in range(1, STEPS + 1):
-        p = positive[rng.random(len(positive)) < 0.5] if len(positive) > 64 else positive
-        u = unlabelled[rng.random(len(unlabelled)) < 0.5] if len(unlabelled) > 64 else unlabelled
-        if not len(p) or not len(u):
-            continue
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) for x in (p, u))
-        negative = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
-        up, uu = sp / len(p), su / len(u)  # slopes of the losses as negatives
-        if negative >= 0:
-            gp, gu = prior * (sp - 1) / len(p) - prior * up, uu
-        else:
-            gp, gu = prior * up, -uu
-        gp, gu = gp.astype(np.float32), gu.astype(np.float32)
-        gw, gb = gp @ p + gu @ u + np.float32(2e-5) * w, gp.sum() + gu.sum()
-        for k, g in enumerate((gw, gb)):
-            moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
-            moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * g * g
-        rate = np.float32(0.15) * (1 - 0.9 * step / STEPS)
-        move = [rate * moments[2 * k] / (1 - 0.9**step) / (np.sqrt(moments[2 * k + 1] / (1 - 0.99**step)) + 1e-8) for k in (0, 1)]
-        w, b = (w - move[0]).astype(np.float32), np.float32(b - move[1])
-    return w, b
+def risk_sums(slots: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What documents add to each classifier's risk and its slope, as whole numbers of ``1 / UNIT``.
+
+    ``slots`` holds the features of one document after the other, ``sizes`` of each. Row k of a classifier's sums is
+    feature k; after the features come the documents' probabilities, their losses as negatives and their number. The
+    first result sums the unlabelled, that is all documents, the second the positive ones. A classifier leaves out the
+    documents whose hash falls to it.
+    """
+    features, classifiers = weights.shape
+    out = np.zeros((2, classifiers, features + 3), np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    for c in range(classifiers):
+        z = np.clip(np.bincount(doc, weights[slots, c], len(sizes)) + offsets[c], -40, 40)
+        chance, loss = np.rint(UNIT / (1 + np.exp(-z))), np.rint(UNIT * np.logaddexp(0, z))
+        own = hashes % classifiers != c if classifiers > 1 else np.ones(len(sizes), bool)
+        for k, part in enumerate((own, own & kinds)):
+            chances = np.where(part, chance, 0.0)
+            out[k, c, :features] = np.bincount(slots, chances[doc], features)
+            out[k, c, features:] = chances.sum(), np.where(part, loss, 0.0).sum(), part.sum() * UNIT
+    return out[0], out[1]
+
+
+class Trainer:
+    """Adam on the non-negative risk, a step for each pass over all documents."""
+
+    def __init__(self, positive_means: np.ndarray, prior: float) -> None:
+        """``positive_means``: for each classifier the share of its positive documents that have each feature."""
+        self.means, self.prior, self.step = positive_means, prior, 0
+        classifiers, features = positive_means.shape
+        self.weights, self.offsets = np.zeros((features, classifiers)), np.full(classifiers, -2.0)
+        self.first, self.second = np.zeros((classifiers, features + 1)), np.zeros((classifiers, features + 1))
+
+    def move(self, unlabelled: np.ndarray, positive: np.ndarray, rounds: int) -> None:
+        """One step from the sums that ``risk_sums`` gives over all documents.
+
+        The slope is that of the positives' loss and of the corrected negative risk. Where the correction exceeds the
+        unlabelled documents' loss, the model has overfitted, and the step goes up that difference instead.
+        """
+        self.step += 1
+        rate = 0.4 * (1 - 0.9 * self.step / rounds)
+        for c in range(len(self.means)):
+            nu, np_ = max(unlabelled[c, -1], 1), max(positive[c, -1], 1)
+            slope_u, slope_p = unlabelled[c, :-2] / nu, positive[c, :-2] / np_
+            negative = unlabelled[c, -2] / nu - self.prior * positive[c, -2] / np_
+            slope = slope_u - self.prior * np.append(self.means[c], 1.0) if negative >= 0 else self.prior * slope_p - slope_u
+            slope[:-1] += DECAY * self.weights[:, c]
+            self.first[c] += 0.2 * (slope - self.first[c])
+            self.second[c] += 0.02 * (slope * slope - self.second[c])
+            move = rate * self.first[c] / (1 - 0.8**self.step) / (np.sqrt(self.second[c] / (1 - 0.98**self.step)) + 1e-8)
+            self.weights[:, c] -= move[:-1]
+            self.offsets[c] -= move[-1]
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and offset of one classifier from dense 0/1 rows, by the same sums and steps as ``fit``."""
+    trainer = Trainer(positive.mean(axis=0, keepdims=True), prior)
+    cells = np.concatenate([unlabelled, positive]).astype(bool)
+    args = (np.nonzero(cells)[1], cells.sum(axis=1), np.arange(len(cells)) >= len(unlabelled), np.zeros(len(cells), np.int64))
+    for _ in range(rounds):
+        both, pos = risk_sums(*args, trainer.weights, trainer.offsets)
+        trainer.move(both - pos, pos, rounds)
+    return trainer.weights[:, 0], float(trainer.offsets[0])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of a binary column's rows, one after the other, and each row's number."""
+    lengths = pc.binary_length(column).to_numpy(zero_copy_only=False) // 2
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64), lengths
 
 
 def fit(
@@ -105,68 +154,95 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     positive_rows: int = POSITIVE_ROWS,
-    unlabelled_rows: int = UNLABELLED_ROWS,
+    rounds: int = ROUNDS,
 ) -> ToxicityModel:
-    """Classifiers from the texts of ``positives`` (ids) and from ``docs`` as unlabelled, ``prior`` the toxic share.
+    """Classifiers from the texts of ``positives`` (ids) and from all of ``docs`` as unlabelled, ``prior`` the toxic share.
 
-    ``positive_rows`` and ``unlabelled_rows`` at most are used, the first by hashes of their ids; a text may be of both.
+    About ``positive_rows`` of the positive ids are used, by a hash; unlabelled are all documents with a text, the
+    positive ones among them. Feature counts and every training step go over all of them; what a task sends is a row
+    for each feature. Sums are whole numbers, so that a model doesn't depend on their order. Null ids are unlabelled,
+    repeated rows count each. Without texts, positives or a prior over 0 the score is the prior.
     """
-    ids = lambda df, col: df.select(F.col(f"`{col}`").cast("long").alias("id")).filter("id is not null").distinct()
-    p = ids(positives, id_col).orderBy(F.xxhash64("id"), "id").limit(positive_rows).select("id", F.lit(True).alias("p"))
-    u = ids(docs, id_col).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(unlabelled_rows).select("id", F.lit(True).alias("u"))
-    picked = staged(p.join(u, "id", "full"), "toxicity-ids")
-    rows = id_and_text(docs, id_col, text_col).filter("text is not null").join(F.broadcast(picked), "id")  # bounded by both
-    rows = staged(rows.select("id", "text", F.coalesce("p", F.lit(False)).alias("p"), F.coalesce("u", F.lit(False)).alias("u")), "toxicity-rows")
+    ids = positives.select(F.col(f"`{id_col}`").cast("long").alias("id")).filter("id is not null").distinct()
+    picked = sampled(ids, F.col("id"), positive_rows).select("id", F.lit(True).alias("p"))  # about positive_rows
+    rows = id_and_text(docs, id_col, text_col).filter("text is not null").join(F.broadcast(picked), "id", "left")
+    rows = rows.select("id", "text", F.coalesce("p", F.lit(False)).alias("p"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-        for batch in batches:
-            at = 0
-            for _, texts in text_slices([batch]):
-                pairs = np.stack(features_of(texts))
-                pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-                for k in (0, 1):
-                    chosen = np.array(batch.column(2 + k).slice(at, len(texts)), dtype=bool)
-                    sums[k] += np.bincount(pairs[1][chosen[pairs[0]]], minlength=1 << BUCKET_BITS)
-                at += len(texts)
+        sums, n = np.zeros((2, 1 << BUCKET_BITS), np.int64), np.zeros(2, np.int64)
+        for texts, kinds in _parts(batches):
+            of, bucket = features_of(texts)
+            sums[0] += np.bincount(bucket, minlength=1 << BUCKET_BITS)
+            sums[1] += np.bincount(bucket[kinds[of]], minlength=1 << BUCKET_BITS)
+            n += len(texts), kinds.sum()
         met = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(sums[0, met]), pa.array(sums[1, met])], names=["bucket", "p", "u"])
+        columns = [np.r_[-1, met], np.r_[n[1], sums[1, met]], np.r_[n[0], sums[0, met]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "p", "u"])
 
-    totals = rows.agg(F.count_if("p").alias("p"), F.count_if("u").alias("u")).first()
-    if not totals.p or not totals.u:
-        return ToxicityModel(np.full(1 << BUCKET_BITS, -1, np.int64), np.zeros((1, 1)), np.full(1, np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     counts = rows.mapInArrow(count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = staged(counts, "toxicity-counts")  # 1 << BUCKET_BITS rows at most
+    totals = counts.filter("bucket = -1").first()
+    if totals is None or not totals.p or not totals.u or prior <= 0:
+        base = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
+        return ToxicityModel(np.full(1 << BUCKET_BITS, -1, np.int64), np.zeros((1, 1)), np.full(1, base))
     tp, tu = float(totals.p), float(totals.u)
     # Times the share among all that the share among toxic texts is at least, allowing for chance; and how far it
     # is over it in standard deviations.
-    lift = ((F.col("p") - 1.5 * F.sqrt("p")) / tp) / ((F.col("u") + 2) / tu)
+    lift = ((F.col("p") - 2 * F.sqrt("p")) / tp) / ((F.col("u") + 2) / tu)
     over = (F.col("p") / tp - F.col("u") / tu) / F.sqrt((F.col("p") + 1) / tp / tp + (F.col("u") + 1) / tu / tu)
-    chosen = [r.bucket for r in counts.filter(lift >= LEAST_LIFT).orderBy(over.desc(), "bucket").limit(FEATURES).collect()]
+    chosen = [r.bucket for r in counts.filter("bucket >= 0").filter((lift >= LEAST_LIFT) & (over >= LEAST_OVER)).orderBy(over.desc(), "bucket").limit(FEATURES).collect()]
     slots = np.full(1 << BUCKET_BITS, -1, np.int64)
     slots[chosen] = np.arange(len(chosen))
-    model = ToxicityModel(slots, np.zeros((max(1, len(chosen)), 1)), np.zeros(1))
+    features = max(1, len(chosen))
+    known = ToxicityModel(slots, np.zeros((features, 1)), np.zeros(1))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for ids, texts in text_slices([batch]):
-                cells = np.zeros((len(texts), len(model.weights)), np.uint8)
-                cells.reshape(-1)[model.present(texts)] = 1
-                kinds = [batch.column(2 + k).slice(at, len(texts)) for k in (0, 1)]
-                at += len(texts)
-                bits = [row.tobytes() for row in np.packbits(cells, axis=1)]
-                yield pa.RecordBatch.from_arrays([ids, *kinds, pa.array(bits, pa.binary())], names=["id", "p", "u", "bits"])
-
-    found = rows.mapInArrow(mark, "id long, p boolean, u boolean, bits binary").toPandas().sort_values("id", kind="stable")
-    cells = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in found["bits"]]), axis=1, count=len(model.weights)).astype(np.float32)
-    trained = [train(cells[found["p"].to_numpy(bool)], cells[found["u"].to_numpy(bool)], prior, seed) for seed in range(CLASSIFIERS)]
-    return ToxicityModel(slots, np.stack([w for w, _ in trained], axis=1), np.array([b for _, b in trained]))
+        for texts, kinds in _parts(batches):
+            pairs = known.present(texts)
+            cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) * features)
+            own = (pairs % features).astype(np.uint16)
+            bits = [own[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            hashes = [zlib.crc32(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(bits, pa.binary()), pa.array(hashes, pa.int64())], names=["p", "slots", "h"])
+
+    marks = staged(rows.mapInArrow(mark, "p boolean, slots binary, h long"), "toxicity-marks")
+
+    def summed(weights: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            u, p = (np.zeros((weights.shape[1], features + 3), np.int64) for _ in range(2))
+            for batch in batches:
+                flat, sizes = _flat(batch.column(1))
+                kinds, hashes = np.array(batch.column(0), dtype=bool), batch.column(2).to_numpy()
+                more = risk_sums(flat, sizes, kinds, hashes, weights, offsets)
+                u, p = u + more[0], p + more[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(u.size)), pa.array(u.reshape(-1)), pa.array(p.reshape(-1))], names=["k", "u", "p"])
+
+        found = marks.mapInArrow(run, "k long, u long, p long").groupBy("k").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+        found = found.toPandas().sort_values("k")  # a row for each weight
+        return tuple(found[c].to_numpy().reshape(weights.shape[1], -1) for c in ("u", "p"))
+
+    # At large weights every probability of a positive document is one: what is summed then are the features themselves.
+    _, have = summed(np.zeros((features, CLASSIFIERS)), np.full(CLASSIFIERS, 40.0))
+    trainer = Trainer(have[:, :features] / np.maximum(have[:, -1:], 1), prior)
+    for _ in range(rounds):
+        trainer.move(*summed(trainer.weights, trainer.offsets), rounds)
+    return ToxicityModel(slots, trainer.weights, trainer.offsets)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Slices of texts with the flags of the third column."""
+    for batch in batches:
+        at = 0
+        for _, texts in text_slices([batch]):
+            yield texts, np.array(batch.column(2).slice(at, len(texts)), dtype=bool)
+            at += len(texts)
 
 
 def scored(
     docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``(id, score, predicted)`` for every row from its whole text; texts without known features get the base score."""
+    """``(id, score, predicted)`` for every row from its whole text; null, empty and other texts without known features get
+    the base score; a score equal to ``threshold`` is predicted 1; repeated rows are scored alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
