@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, language, line_dedup, neighbours, quality, simhash, token_files, toxicity, unigram, url_filter
+from waymark.llm import decontaminate, language, line_dedup, neighbours, quality, simhash, sql, token_files, toxicity, unigram, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def url_filter_of_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of ``op4_url_filter`` over made pages that link to each other, as those of ``pages`` don't."""
+    pages = spark.sql(sql.LINK_PAGES[1:-1].replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer"))
+    return url_filter.judged(pages).withColumnRenamed("id", "page_id")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(_fold("doc_id", 4) != 2))
@@ -60,12 +67,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = neighbours.build_index(_table(spark, sf_dir, "embeddings"))
-    if built is None:
+    vectors, parts = _table(spark, sf_dir, "embeddings"), []
+    asked = neighbours.usable(vectors).filter("id % 50 = 0")
+    for n in neighbours.lengths(vectors):
+        index, books = neighbours.build_index(vectors, length=n)
+        parts.append(neighbours.search(index, books, asked.filter(F.size("vector") == n)))
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, books = built
-    found = neighbours.search(index, books, index.filter("id % 50 = 0").select("id", "vector"))
-    return found.withColumnRenamed("id", "vec_id")
+    return reduce(DataFrame.union, parts).withColumnRenamed("id", "vec_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +108,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_files": op9_token_files,
         "op10_line_dedup": op10_line_dedup,
+        "url_filter_of_links": url_filter_of_links,
     }

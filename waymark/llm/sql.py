@@ -19,7 +19,7 @@ def _rest(url: str) -> str:
     return f"(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END)"
 
 
-def op4_url_filter() -> str:
+def op4_url_filter(pages: str = "pages") -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
     mass, damping = url_filter.MASS, url_filter.DAMPING
     rounds = "".join(
@@ -33,7 +33,7 @@ r{k} AS MATERIALIZED (SELECT kind, host, sum(rank)::BIGINT AS rank FROM (
     link = r"""(?i)href\s*=\s*["'']?\s*([a-z][a-z0-9+.-]*://[^/?#"''\s>]+)"""
     return f"""
 WITH rules(v, h, p) AS (VALUES {rules}),
-p AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, html FROM pages),
+p AS (SELECT page_id, {_host("url")} AS host, {_path("url")} AS path, html FROM {pages}),
 fit AS (SELECT page_id, v, h || p AS rule,
     row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, v DESC, h, p) AS n
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, rules.p)),
@@ -41,9 +41,10 @@ ruled AS MATERIALIZED (SELECT p.page_id, host, path, rule, v FROM p LEFT JOIN fi
 found AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS url FROM p),
 links AS (SELECT DISTINCT src, {_host("url")} AS dst FROM found),
 hosts AS (SELECT DISTINCT host FROM (SELECT host FROM p UNION ALL SELECT dst FROM links) WHERE host <> ''),
-labels AS (SELECT string_split(host, '.') AS l FROM hosts),
-cut AS (SELECT l, unnest(range(1, len(l) - {url_filter.LEAST_LABELS} + 1)) AS k FROM labels),
-ties AS (SELECT DISTINCT array_to_string(l[k:], '.') AS low, array_to_string(l[k + 1:], '.') AS high FROM cut),
+labels AS (SELECT host, string_split(host, '.') AS l FROM hosts),
+cut AS (SELECT host, l, unnest(range(2, len(l) - {url_filter.LEAST_LABELS} + 2)) AS k FROM labels),
+above AS (SELECT host, k, array_to_string(l[k:], '.') AS high FROM cut),
+ties AS (SELECT host AS low, arg_min(high, k) AS high FROM above WHERE high IN (SELECT host FROM hosts) GROUP BY host),
 edges AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM links UNION ALL SELECT low, high FROM ties UNION ALL SELECT high, low FROM ties)
   WHERE src <> '' AND dst <> '' AND src <> dst),
 both_ways AS (SELECT 'trust' AS kind, src, dst FROM edges UNION ALL SELECT 'distrust', dst, src FROM edges),
@@ -61,6 +62,13 @@ SELECT page_id, ruled.host, path, rule,
 FROM ruled LEFT JOIN ranks ON ruled.host = ranks.host"""
 
 
+#: Pages of a few hosts that link to each other, some along a chain; hosts above and below each other.
+LINK_PAGES = """(SELECT c_custkey AS page_id, concat('http://', CASE WHEN c_custkey % 3 = 0 THEN 'sub.' ELSE '' END, 'h', c_custkey % 53, '.', CASE c_custkey % 4 WHEN 0 THEN 'com' WHEN 1 THEN 'net' ELSE 'io' END,
+    CASE WHEN c_custkey % 5 = 0 THEN '/en/' ELSE '/de/' END, c_custkey) AS url,
+  concat('<a href="http://h', (c_custkey * 7) % 61, '.io/x">a</a> <A HREF = ''HTTPS://H', (c_custkey % 53) + 1, '.IO''><a href=/local>', CASE WHEN c_custkey % 6 = 0 THEN '<a href="http://sub.h3.com?q">' ELSE '' END) AS html
+  FROM customer)"""
+
+
 def op6_decontaminate() -> str:
     words = f"regexp_extract_all({_LOWER % 'text'}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
@@ -112,6 +120,7 @@ FROM documents d LEFT JOIN split s USING (doc_id) LEFT JOIN kept k USING (doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": op4_url_filter(),
+        "url_filter_of_links": op4_url_filter(LINK_PAGES),
         "op6_decontaminate": op6_decontaminate(),
         "op10_line_dedup": op10_line_dedup(),
     }
