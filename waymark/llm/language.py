@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.shared import id_and_text, text_slices
@@ -93,32 +93,37 @@ def fit(
 ) -> LanguageModel:
     """A model of the languages of ``docs``, from a bounded sample of its rows.
 
-    Of each language ``sample_rows`` rows by hash of the id, each giving ``row_bytes`` characters at most,
-    in spans spread over the whole text, to a dictionary of ``dictionary_bytes``; so the model grows with the number of
-    languages only.
+    Of each language about ``sample_rows`` rows by hash of id and text, each giving ``row_bytes`` characters at most, in
+    spans spread over the whole text, to a dictionary of ``dictionary_bytes``; so the model grows with the number of
+    languages only. Rows without a language or text don't count; a language's rows are sampled alike at every size.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")
     ).filter("lang is not null and text is not null and text <> ''")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    order = F.xxhash64("id", "text")
-    share = lambda n: 3.0 * sample_rows / n if n > 4 * sample_rows else 1.0
     if not counts:
         return LanguageModel({})
-    below = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, share(n))))
-    near = rows.filter(F.pmod(order, F.lit(1 << 20)) < F.element_at(below, F.col("lang")) * (1 << 20))
-    # About three times the sample is left of a language, in parts of which each gives its first rows.
-    parts = 16
-    first = F.row_number().over(Window.partitionBy("lang", "part").orderBy("order", "id"))
-    near = near.select("lang", "id", "text", order.alias("order"), F.pmod(F.shiftright(order, 24), F.lit(parts)).alias("part"))
-    picked = near.select("lang", "order", _spread(F.col("text"), row_bytes).alias("text"), first.alias("n")).filter(
-        F.col("n") <= -(-sample_rows // parts)
-    )
+    order = F.xxhash64("id", "text")
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample_rows / n))))
+    near = rows.filter(F.pmod(order, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
+    picked = near.select("lang", order.alias("order"), _spread(F.col("text"), row_bytes).alias("text"))  # about sample_rows a language
     held: dict[str, list[str]] = {}
-    for r in picked.orderBy("n", "order").collect():
+    for r in sorted(picked.collect(), key=lambda r: (r.order, r.text)):
         held.setdefault(r.lang, []).append(r.text)
     order_of = sorted(held, key=lambda x: (-counts[x], x))
-    return LanguageModel({x: b"".join(map(letters, held[x]))[:dictionary_bytes] for x in order_of})
+    return LanguageModel({x: _dictionary(held[x], dictionary_bytes) for x in order_of})
+
+
+def _dictionary(texts: list[str], size: int) -> bytes:
+    """The letters of all texts; if they are more than fits, of each an equal share, spread over it."""
+    parts = [letters(t) for t in texts]
+    if sum(map(len, parts)) <= size:
+        return b"".join(parts)
+    share, out = size // len(parts), []
+    for part in parts:
+        step = max(1, len(part) // max(1, share))
+        out += [part[k * 64 * step : k * 64 * step + 64] for k in range(-(-len(part) // (64 * step)))] if len(part) > share else [part]
+    return b"".join(out)[:size]
 
 
 def identified(

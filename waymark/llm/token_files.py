@@ -14,6 +14,7 @@ range of ids by the blocks that hold it, unpacked with numpy.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -228,7 +229,8 @@ class PieceEncoder:
 
 
 class Encoder(PieceEncoder):
-    """Texts to ids with the tokenizers library."""
+    """Texts to ids with the tokenizers library. Files with another pre-tokenizer than the byte-level one that ``pieces``
+    is right for, with a normaliser, or with an added token that a piece could cut, are refused."""
 
     def __init__(self, path: str, most_kept: int = 500_000) -> None:
         super().__init__(most_kept)
@@ -236,6 +238,13 @@ class Encoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        before, added = told["pre_tokenizer"] or {}, [t["content"] for t in told["added_tokens"]]
+        if told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level files without a normaliser are cut rightly")
+        if any(len(pieces([t.encode()])[0]) != 1 for t in added):
+            raise ValueError(f"{path}: an added token would be cut: {added}")
+        self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         return pieces(texts)
@@ -263,7 +272,6 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     tokenizer: str = "byte_bpe_50k.json",
-    vocab_size: int = 50_257,
     end_id: int = 0,
     block: int = BLOCK,
     folder: str | None = None,
@@ -275,7 +283,8 @@ def write_token_files(
     writes a file of its own and the manifest names the one that counts, so that retries do no harm.
     """
     spark = docs.sparkSession
-    path, folder = tokenizer_path(tokenizer), folder or staged_path(spark, "token-ids")
+    path, vocab_size = tokenizer_path(tokenizer), encoder(tokenizer_path(tokenizer)).vocab_size
+    folder = folder or staged_path(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, files = TaskContext.get().partitionId(), None

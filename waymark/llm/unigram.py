@@ -353,8 +353,9 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
 def decoded(tokens: DataFrame, ids_col: str = "ids", model: str = "piece_bpe_32k.model") -> DataFrame:
     """``tokens`` with the ``decoded`` text of its ids and the ``ids_crc32`` over them as little-endian 32-bit numbers.
-    Null ids decode to null."""
+    Null ids decode to null; columns of those names give way."""
     held = loaded(tokenizer_path(model))
+    tokens = tokens.drop(*(c for c in tokens.columns if c.lower() in ("decoded", "ids_crc32") and c != ids_col))
     names = tokens.columns
     out = tokens.select("*", F.lit(None).cast("string").alias("decoded"), F.lit(None).cast("long").alias("ids_crc32"))
 
@@ -381,10 +382,10 @@ def tokenised(
 ) -> DataFrame:
     """``docs`` with the ids of its texts in ``ids_col`` and, as its text, what they decode to. A null text stays null
     and has no ids. ``crc_col`` adds the crc32 of the ids as little-endian 32-bit numbers. One pass does both ways, so
-    that an executor has one Python worker for each task. ``docs`` may not have the new columns yet."""
+    that an executor has one Python worker for each task. Columns of ``docs`` that have a new column's name, in whatever
+    letter case, give way to it."""
     new = [ids_col, *([crc_col] if crc_col else [])]
-    if set(new) & set(docs.columns):
-        raise ValueError(f"there is a column {ids_col} or {crc_col}")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in {n.lower() for n in new} and c != text_col))
     held, names = loaded(tokenizer_path(model)), docs.columns
     at = names.index(text_col)
 
