@@ -246,11 +246,12 @@ def test_paged_source(spark):
     assert len(list(readers.pages(fetch, "000001"))) == 54 and len(calls) == 3
     calls.clear()
     assert len(list(readers.pages(fetch, "000002", wait=waits.append))) == 54 and waits == [10, 20]
-    assert list(readers.pages(lambda c, p: (_ for _ in ()).throw(OSError), "x", wait=waits.append)) == []
+    lost = list(readers.pages(lambda c, p: ["r"] * 25 if p < 2 else (_ for _ in ()).throw(OSError("down")), "x", wait=waits.append))
+    assert lost == [("r", None)] * 25 + [(None, "page 2 and after: OSError down")]
     assert len(list(readers.pages(lambda c, p: ["r"] * 25, "x"))) == 200
     spark.dataSource.register(readers.paged_source(lambda code, page: [f"{code}-{page}"], ["7", "12", "7"]))
     rows = spark.read.format("waymark_paged").load().collect()
-    assert sorted(map(tuple, rows)) == [("000007", "000007-1"), ("000012", "000012-1")]
+    assert sorted(map(tuple, rows)) == [("000007", "000007-1", None), ("000012", "000012-1", None)]
 
 
 def test_files(spark, tmp_path):

@@ -67,3 +67,33 @@ def crosses(s: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column
     overlap = lambda u1, u2, v1, v2: (F.least(u1, u2) <= F.greatest(v1, v2)) & (F.least(v1, v2) <= F.greatest(u1, u2))
     boxes = overlap(s["x1"], s["x2"], x1, x2) & overlap(s["y1"], s["y2"], y1, y2)
     return boxes & (a * b <= 0) & (c * d <= 0)
+
+
+def fraction(segs: Column, x: Column, y: Column) -> Column:
+    """How far along a line its nearest point to a place lies, from 0 to 1; null for a line without length."""
+    size = length(segs)
+    return F.when(size > 0, located(segs, x, y)["pos"] / size)
+
+
+def merged(parts: Column) -> Column:
+    """The lines that a line's parts, arrays of points, make where one goes on from an end of the line before it, turned
+    round where need be. Parts that don't touch the line before begin a line of their own."""
+    inner = lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+    ends = lambda p: (F.element_at(p, 1), F.element_at(p, -1))
+
+    def add(done: Column, part: Column) -> Column:
+        def joined(line: Column) -> Column:
+            (a, b), (p, q) = ends(line), ends(part)
+            turned = F.reverse(part)
+            return (
+                F.when(b == p, F.concat(line, inner(part))).when(b == q, F.concat(line, inner(turned)))
+                .when(a == q, F.concat(part, inner(line))).when(a == p, F.concat(turned, inner(line)))
+            )
+
+        def kept(one: Column) -> Column:
+            rest = F.slice(done, 1, F.size(done) - 1)
+            return F.when(one.isNull(), F.concat(done, F.array(part))).otherwise(F.concat(rest, F.array(one)))
+
+        return F.when(F.size(done) == 0, F.array(part)).otherwise(let(let(F.element_at(done, -1), joined), kept))
+
+    return F.aggregate(parts, F.array().cast("array<array<struct<x:double,y:double>>>"), add)

@@ -145,13 +145,20 @@ def district_of(file_name: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), F.nullif(word, F.lit("")))
 
 
-def file_report(raw: DataFrame, clean: DataFrame, file_col: str = "source_file", id_col: str = "poi_id") -> DataFrame:
-    """Per input file: rows in, rows kept, and whether it was processed or, being without rows that count, skipped.
-
-    One job cleans all files; this tells what it made of each.
-    """
-    read = raw.groupBy(file_col).agg(F.count("*").alias("rows"), F.count(id_col).alias("with_id"))
+def file_report(raw: DataFrame, clean: DataFrame, districts: DataFrame | None = None, file_col: str = "source_file") -> DataFrame:
+    """Per input file: rows in, rows kept, what became of it and why. One job cleans all files; this tells what it made
+    of each. With ``districts(district, adcode)`` a file is skipped whose name has no district or one that isn't there;
+    ``cleanable`` drops its rows beforehand."""
+    read = raw.groupBy(file_col).agg(F.count("*").alias("rows"))
     kept = clean.groupBy(file_col).agg(F.count("*").alias("kept"))
-    status = F.when(F.col("with_id") > 0, "processed").otherwise("skipped")
     out = read.join(kept, file_col, "left").withColumn("kept", F.coalesce("kept", F.lit(0).cast("long")))
-    return out.select(file_col, "rows", "kept", status.alias("status"))
+    reason = F.lit(None).cast("string")
+    if districts is not None:
+        out = out.withColumn("district", district_of(F.col(file_col))).join(districts.select("district", "adcode"), "district", "left")
+        reason = F.when(F.col("district").isNull(), "no district in the name").when(F.col("adcode").isNull(), "unknown district")
+    return out.select(file_col, "rows", "kept", F.when(reason.isNull(), "processed").otherwise("skipped").alias("status"), reason.alias("reason"))
+
+
+def cleanable(raw: DataFrame, districts: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """The rows of files whose district is known."""
+    return raw.withColumn("_district", district_of(F.col(file_col))).join(districts.select(F.col("district").alias("_district")), "_district", "left_semi").drop("_district")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.staging import running
+
 
 def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns))
@@ -33,16 +35,13 @@ def cell_differences(a: DataFrame, b: DataFrame, order: Sequence[str]) -> DataFr
     columns = [c for c in a.columns if c in b.columns]
 
     def numbered(df: DataFrame, name: str) -> DataFrame:
-        # Ranges in order first, numbers within, so that no single task holds the table.
-        ranged = df.select(*columns).repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-        sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-        before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-        rows = ranged.withColumn("_i", inside).join(sizes.select("_p", before.alias("_b")), "_p")
-        return rows.select((F.col("_i") + F.col("_b")).alias("row"), F.struct(*(F.col(c).cast("string").alias(c) for c in columns)).alias(name))
+        held = df.select(*(F.col(f"`{c}`") for c in columns))
+        ties = [F.col(f"`{c}`").cast("string") for c in columns if c not in order]  # rows that the order leaves equal
+        rows = running(held, [*(F.col(f"`{c}`") for c in order), *ties], F.lit(1).cast("long"), "_row", f"cells-{name}")
+        return rows.select(F.col("_row").alias("row"), F.struct(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).alias(name))
 
     both = numbered(a, "a").join(numbered(b, "b"), "row", "full")
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"a.{c}").alias("a"), F.col(f"b.{c}").alias("b")) for c in columns))
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"a.`{c}`").alias("a"), F.col(f"b.`{c}`").alias("b")) for c in columns))
     return both.select("row", F.explode(cells).alias("x")).select("row", "x.*").filter(~F.col("a").eqNullSafe(F.col("b")))
 
 

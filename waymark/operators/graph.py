@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import lines
+from waymark.operators.staging import staged
 
 MOST_EDGES = 2_000_000
 
@@ -34,8 +35,7 @@ def edges_of(roads: DataFrame, snap: float | None = None) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``(node, component)``: the smallest node that each reaches. Labels go along edges and then to their label's
     label, so that rounds grow with the logarithm of a path's length."""
-    sc = edges.sparkSession.sparkContext
-    keep = (lambda df: df.checkpoint()) if sc.getCheckpointDir() else (lambda df: df.cache())
+    keep = lambda df: staged(df, "labels")
     both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     for _ in range(rounds):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.spatial import nearest
+from waymark.operators.staging import running
 from waymark.operators.stats import min_max, with_scalars
 
 # Weights of the signals, the sigmoid, and the quota of a grid cell.
@@ -24,13 +25,9 @@ def percentile_scaled(df: DataFrame, value: str, out: str, key: str) -> DataFram
     Ranks are counted over ranges of the value, so that no task sorts them all.
     """
     positive = df.filter(F.col(value) > 0).select(F.col(key).alias("_k"), F.col(value).alias("_v"))
-    ranged = positive.repartitionByRange("_v", "_k").withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_v", "_k")))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_c").over(Window.partitionBy())
-    ranks = ranged.join(sizes.select("_p", before.alias("_b"), total.alias("_t")), "_p")
-    scaled = F.when(F.col("_t") == 1, 75.0).otherwise(50 + 50.0 * (F.col("_i") + F.col("_b") - 1) / (F.col("_t") - 1))
+    ranked = running(positive, [F.col("_v"), F.col("_k")], F.lit(1).cast("long"), "_i", "percentile-ranks")
+    ranks = with_scalars(ranked, ranked.agg(F.count("*").alias("_t")))
+    scaled = F.when(F.col("_t") == 1, 75.0).otherwise(50 + 50.0 * (F.col("_i") - 1) / (F.col("_t") - 1))
     ranks = ranks.select(F.col("_k"), scaled.alias(out))
     return df.join(ranks, F.col(key) == F.col("_k"), "left").drop("_k").withColumn(out, F.coalesce(out, F.lit(0.0)))
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from waymark.functions import lines
 from waymark.functions.geo import distance
+from waymark.operators.staging import staged
+
+FEW = 64
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -24,11 +27,12 @@ def _around(v: Column, radius: float, size: float) -> Column:
     return F.sequence(_cell(v - radius, size), _cell(v + radius, size))
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius: float, cell: float | None = None, salts: int = 1) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, radius: float, cell: float | None = None, salts: int = 1, group: str | None = None) -> DataFrame:
     """Pairs of ``left(.., lx, ly)`` and ``right(.., rx, ry)`` at most ``radius`` apart, with their ``distance``.
 
     ``left`` is repeated into the cells that its circle meets, so it should be the smaller side. ``salts`` deals the
     rows of a crowded cell to so many tasks, at the price of as many copies of ``left``. Null places meet nothing.
+    With ``group``, a column of both, only places of one group meet.
     Places are dealt evenly first: they are few beside their pairs, which would else arise in as many tasks as the
     places have files if ``left`` is broadcast.
     """
@@ -36,12 +40,12 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, cell: float
     size = cell or float(radius)
     probe = left.withColumn("_cx", F.explode(_around(F.col("lx"), radius, size))).withColumn("_cy", F.explode(_around(F.col("ly"), radius, size)))
     held = right.withColumns({"_cx": _cell(F.col("rx"), size), "_cy": _cell(F.col("ry"), size)})
-    on = ["_cx", "_cy"]
+    on, cells = ["_cx", "_cy", *([group] if group else [])], ["_cx", "_cy"]
     if salts > 1:
         probe = probe.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         held = held.withColumn("_salt", F.pmod(F.xxhash64("rx", "ry"), F.lit(salts)).cast("int"))
-        on = [*on, "_salt"]
-    pairs = probe.join(held, on).drop(*on)
+        on, cells = [*on, "_salt"], [*cells, "_salt"]
+    pairs = probe.join(held, on).drop(*cells)
     return pairs.withColumn("distance", distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))).filter(F.col("distance") <= radius)
 
 
@@ -78,31 +82,41 @@ def nearest(
     """``(id, n, distance)``: the ``k`` nearest others of each of ``points(id, x, y[, group])`` at most, by group.
 
     Searches ever larger circles: a point is settled once ``k`` others lie within the circle's radius; the rest go on
-    with the radius doubled until every point of the group is within it. Others at ``least_distance`` or closer don't
+    with the radius doubled until every point of the group is within it. Only members of one group meet. Others at ``least_distance`` or closer don't
     count.
     """
-    spark = points.sparkSession
-    by = [group] if group else []
-    sizes = points.groupBy(*by).agg(
+    by = group or "_all"
+    points = points.select("id", "x", "y", *([group] if group else [F.lit(0).alias(by)]))
+    sizes = points.groupBy(by).agg(
         F.count("*").alias("total"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.5 + cell).alias("span")
     )
-    span = sizes.agg(F.max("span")).first()[0] or cell
-    left, radius, done = points, cell, None
-    for _ in range(most_rings):
-        one = left.select(*by, F.col("id").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-        other = points.select(*(F.col(b).alias(f"r_{b}") for b in by), F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-        met = distance_join(one, other, radius).filter((F.col("lid") != F.col("rid")) & (F.col("distance") > least_distance))
-        if group:
-            met = met.filter(F.col(group) == F.col(f"r_{group}"))
+    few = sizes.filter(F.col("total") <= FEW).select(by)  # a group of so few is compared as it is, at no radius
+    span = sizes.filter(F.col("total") > FEW).agg(F.max("span")).first()[0]
+
+    def sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            left.select(by, F.col("id").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly")),
+            right.select(by, F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry")),
+        )
+
+    def top(met: DataFrame) -> DataFrame:
+        met = met.filter((F.col("lid") != F.col("rid")) & (F.col("distance") > least_distance))
         order = Window.partitionBy("lid").orderBy("distance", "rid")
-        top = met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
-        top = top.select(F.col("lid").alias("id"), "n", "distance").checkpoint() if spark.sparkContext.getCheckpointDir() else top.select(F.col("lid").alias("id"), "n", "distance")
-        full = top.filter(F.col("n") == k).select("id")
-        last = radius > span
-        found = top if last else top.join(full, "id", "left_semi")
-        done = found if done is None else done.union(found)
-        if last:
-            break
+        return met.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(F.col("lid").alias("id"), "n", "distance")
+
+    small = points.join(few, by, "left_semi")
+    one, other = sides(small, small)
+    done = top(one.join(other, by).withColumn("distance", distance(F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry"))))
+    if span is None:
+        return done
+    points = points.join(few, by, "left_anti")
+    left, radius = points, cell
+    for _ in range(most_rings):
+        found = staged(top(distance_join(*sides(left, points), radius, group=by)), "nearest")
+        if radius > span:
+            return done.union(found)
+        full = found.filter(F.col("n") == k).select("id")
+        done = done.union(found.join(full, "id", "left_semi"))
         left, radius = left.join(full, "id", "left_anti"), radius * 2
         if left.isEmpty():
             break
@@ -130,7 +144,7 @@ def hull_area(points: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in held], pa.float64()) for k in (0, 1)], names=["x", "y"])
 
     found = points.select(F.col("x").cast("double"), F.col("y").cast("double")).dropna().mapInArrow(corners, "x double, y double")
-    whole = found.coalesce(1).mapInArrow(corners, "x double, y double").collect()
+    whole = found.repartition(1).mapInArrow(corners, "x double, y double").collect()
     ring = [(r.x, r.y) for r in whole]
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True))) / 2
     return points.sparkSession.createDataFrame([(area,)], "hull double")

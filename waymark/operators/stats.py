@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.operators.staging import running
+
 
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """One-row tables side by side."""
@@ -108,11 +110,10 @@ def descriptives(df: DataFrame, column: str, population: bool = True, quantiles:
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Ranks with ties averaged, over distinct values: what is sorted in one place are the values, counted."""
+    """Ranks with ties averaged, from running totals of the distinct values' counts."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.select(column, (before - (F.col("_n") - 1) / 2.0).alias(out))
-    return df.join(ranks, column)
+    upto = running(counts, [F.col(column)], F.col("_n"), "_upto", "ranks")
+    return df.join(upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out)), column)
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 Roll = Callable[[int], Column]
 NEARBY = "附近"
 ROOTS = {"North": "北", "Northeast": "东北", "East": "东", "Southeast": "东南", "South": "南", "Southwest": "西南", "West": "西", "Northwest": "西北"}
-ADVERBS = {"EXACT": ("正", "直", ""), "SLIGHT": ("略", "稍"), "MODERATE": ("明显", "比较")}
-SUFFIXES, SIDES = ("方向", "那边"), ("边", "侧")
+EXACT_ADVERBS = ("笔直朝", "恰好在")
+ADVERBS = {"EXACT": (*EXACT_ADVERBS, ""), "SLIGHT": ("微微", "有点"), "MODERATE": ("颇", "大幅")}
+SUFFIXES, SIDES = ("所指的方向", "去的那边"), ("一面", "一带")
 VAGUE = {"VeryClose": ("几步之内", "紧跟前"), "Close": ("百来米", "两三分钟路"), "Medium": ("几百米", "一小段路"), "Far": ("近一公里", "一大段路")}
 ULTRA = {"VeryClose": ("很近",), "Close": ("不远",), "Medium": ("有一段",), "Far": ("偏远",)}
 PARTICLES = ("大约", "估计")
@@ -26,9 +27,10 @@ DEFAULT_TEMPLATES = {
     "SCENE-D": ("{target}与{landmark}在同一处。",),
     "FALLBACK_GENERIC": ("{target}位于{landmark}{dir_text}。",),
 }
-# Weights of the granularities, by ambiguity for directions.
+# Weights of the granularities, by ambiguity for directions; words before a number of minutes; speeds.
 DIRECTION_WEIGHTS = {True: (("precise", 0.05), ("vague", 0.65), ("functional", 0.30)), False: (("precise", 0.25), ("vague", 0.45), ("functional", 0.30))}
 DISTANCE_WEIGHTS = (("precise", 0.5), ("vague", 0.3), ("ultra_vague", 0.1), ("functional", 0.1))
+ABOUT = ("约", "大概")
 WALK_M_PER_MIN, DRIVE_M_PER_MIN = 80.0, 400.0
 
 
@@ -80,6 +82,23 @@ def direction_text(direction: Column, deviation: Column, ambiguity: Column, road
     )
 
 
+def composed_direction(direction: Column, deviation: Column, ambiguity: Column, granularity: str, roll: Roll, sides: bool = True) -> Column:
+    """A direction phrase at one granularity, without a road: ``precise`` always has an exact adverb and owns up to a
+    deviation, ``functional`` has a general word after it, ``vague`` an adverb that fits the ambiguity."""
+    root = F.element_at(F.create_map(*(F.lit(x) for kv in ROOTS.items() for x in kv)), direction)
+    adverb = _pick_of(ADVERBS, ambiguity, roll(1), "EXACT")
+    exact = adverb.isin(*EXACT_ADVERBS)
+    if granularity == "precise":
+        text = F.concat(F.when(exact, adverb).otherwise(pick(EXACT_ADVERBS, roll(5))), root, F.when(deviation > 3, "偏").otherwise(""))
+    elif granularity == "functional":
+        text = F.concat(root, pick(SUFFIXES, roll(4)))
+    else:
+        side = F.when(roll(2) < 0.3, pick(SIDES, roll(3))).otherwise("") if sides else F.lit("")
+        leaning = F.when(roll(2) < 0.8, F.concat(adverb, F.lit("偏"), root)).otherwise(F.concat(adverb, root))
+        text = F.when(adverb == "", root).when(exact, F.concat(adverb, root, side)).otherwise(leaning)
+    return F.when(root.isNull(), NEARBY).otherwise(text)
+
+
 def precise_distance(d: Column) -> Column:
     """Tens of metres (halves to even, ten at least), kilometres with one decimal from 1000 m on."""
     km = F.bround(d / 1000, 1)
@@ -98,7 +117,7 @@ def distance_text(d: Column, level: Column, granularity: Column, roll: Roll) ->
     mode = F.when(drives, "开车").otherwise("步行")
     timed = (
         F.when(d == 0, "就在此处").when(minutes < 1, F.concat(mode, F.lit("不到1分钟"))).when(F.bround(minutes) > 60, ultra)
-        .otherwise(F.concat(mode, F.lit("约"), F.bround(minutes).cast("int").cast("string"), F.lit("分钟")))
+        .otherwise(F.concat(mode, pick(ABOUT, roll(15)), F.bround(minutes).cast("int").cast("string"), F.lit("分钟")))
     )
     return (
         F.when(granularity == "precise", precise_distance(d)).when(granularity == "functional", timed)
@@ -171,15 +190,26 @@ def keeps_direction(before: Column, after: Column, direction: Column) -> Column:
 
 
 def placeholders(template: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{([a-z_]+)\}"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1)))
+
+
+# What counts as a direction spelt out.
+HARD_DIRECTIONS = "东南西北左右前后上下"
 
 
 def good_template(template: Column, valid: Sequence[str], required: Sequence[str]) -> Column:
-    """Only valid slots, all required ones, and no direction spelt out."""
+    """Only valid slots (any, if none is given), all required ones, and no direction spelt out."""
     slots = placeholders(template)
     array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    hard = F.rlike(F.regexp_replace(template, r"\{[a-z_]+\}", ""), F.lit("[东南西北]"))
-    return (F.size(F.array_except(slots, array(valid))) == 0) & (F.size(F.array_except(array(required), slots)) == 0) & ~hard
+    hard = F.rlike(F.regexp_replace(template, r"\{[^}]*\}", ""), F.lit(f"[{HARD_DIRECTIONS}]"))
+    known = F.size(F.array_except(slots, array(valid))) == 0 if valid else F.lit(True)
+    return known & (F.size(F.array_except(array(required), slots)) == 0) & ~hard
+
+
+def merged_templates(held: DataFrame, made: DataFrame, valid: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """``(family, template)``: the templates held, and those of ``made`` that are good and not held yet, each once."""
+    good = made.filter(good_template(F.col("template"), valid, required)).select("family", "template").distinct()
+    return held.select("family", "template").union(good.join(held, ["family", "template"], "left_anti"))
 
 
 # Words that a text is read back by, in the order in which they are tried.

@@ -78,6 +78,28 @@ classed AS (
   LEFT JOIN corners k ON k.id = c.target_id),
 topology AS (SELECT *, CASE topology WHEN 'Intersection' THEN corner WHEN 'Opposite' THEN road50 WHEN 'SameSide' THEN road80 END AS road_name FROM classed)"""
 
+#: Roads with bends, and their pieces with the length of the road before each.
+BENT = """bent AS (
+  SELECT road_id, road, width, CASE WHEN v THEN [(p, -200.0), (p + 60, 800.0), (p - 40 + 10 * (road_id % 5), 1900.0), (p + 30, 3400.0)]
+    ELSE [(-200.0, p), (700.0, p + 50), (1800.0, p - 60), (3400.0, p + 20)] END::STRUCT(x DOUBLE, y DOUBLE)[] AS points FROM roads),
+bent_ends AS (SELECT road_id, k, points[k].x AS x1, points[k].y AS y1, points[k + 1].x AS x2, points[k + 1].y AS y2 FROM (SELECT *, unnest([1, 2, 3]) AS k FROM bent)),
+bent_pieces AS (SELECT *, sum(len) OVER (PARTITION BY road_id ORDER BY k) - len AS upto FROM (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM bent_ends)),
+bent_feet AS (SELECT id, road_id, x, y, upto, x1, y1, x2, y2, len, least(len, greatest(0.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / len)) AS foot FROM pois, bent_pieces),
+bent_places AS (SELECT id, road_id, min(d) AS d, arg_min(upto + foot, (d, upto + foot)) AS pos FROM (SELECT *,
+    sqrt((x - (x1 + (x2 - x1) * (foot / len))) * (x - (x1 + (x2 - x1) * (foot / len))) + (y - (y1 + (y2 - y1) * (foot / len))) * (y - (y1 + (y2 - y1) * (foot / len)))) AS d
+  FROM bent_feet) GROUP BY id, road_id),
+bent_crossed AS (SELECT DISTINCT landmark_id, target_id, road_id FROM candidates, bent_pieces WHERE distance <= 30
+  AND least(x1, x2) <= greatest(lx, rx) AND least(lx, rx) <= greatest(x1, x2) AND least(y1, y2) <= greatest(ly, ry) AND least(ly, ry) <= greatest(y1, y2)
+  AND sign((x2 - x1) * (ly - y1) - (y2 - y1) * (lx - x1)) * sign((x2 - x1) * (ry - y1) - (y2 - y1) * (rx - x1)) <= 0
+  AND sign((rx - lx) * (y1 - ly) - (ry - ly) * (x1 - lx)) * sign((rx - lx) * (y2 - ly) - (ry - ly) * (x2 - lx)) <= 0)"""
+
+_BENT_ON = """on_roads AS (
+  SELECT c.landmark_id, c.target_id, r.road_id, road, width, l.d AS dl, t.d AS dt, abs(l.pos - t.pos) AS along, x.road_id IS NOT NULL AS crossed
+  FROM candidates c JOIN bent_places l ON l.id = c.landmark_id JOIN bent_places t ON t.id = c.target_id AND t.road_id = l.road_id JOIN bent r ON r.road_id = l.road_id
+  LEFT JOIN bent_crossed x ON x.landmark_id = c.landmark_id AND x.target_id = c.target_id AND x.road_id = r.road_id WHERE distance <= 500),
+ranked50 AS"""
+BENT_TOPOLOGY = _BENT_ON + TOPOLOGY.split("ranked50 AS", 1)[1]
+
 _CENTRE = "list_position([" + ", ".join(f"'{d}'" for d in DIRECTIONS_8) + "], direction_8) * 45 - 45"
 _OFF = f"(abs(azimuth - ({_CENTRE})) % 360)"
 
@@ -100,4 +122,5 @@ KEPT = """kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY land
 
 PAIRS = f"WITH {POIS},\n{CANDIDATES}"
 WITH_TOPOLOGY = f"WITH {POIS},\n{ROADS},\n{JUNCTIONS},\n{CANDIDATES},\n{TOPOLOGY}"
+WITH_BENT_TOPOLOGY = f"WITH {POIS},\n{ROADS},\n{JUNCTIONS},\n{CANDIDATES},\n{BENT},\n{BENT_TOPOLOGY}"
 RELATIONS = f"{WITH_TOPOLOGY},\n{LABELS},\n{KEPT}"

@@ -214,9 +214,16 @@ def json_rows(spark, sf):
     return rows.select(F.col("poi_id").cast("long").alias("event_id"), "lon", "lat", "name", F.col("codes").cast("int").alias("k"))
 
 
-@query(f"""WITH {_CHAIN}, f AS (SELECT ord, poi_id, concat('district', ord % 16, '.csv') AS source_file FROM raw), k AS (SELECT concat('district', ord % 16, '.csv') AS source_file, count(*) AS kept FROM judged WHERE reason IS NULL GROUP BY 1)
-  SELECT source_file, count(*) AS rows, coalesce(any_value(kept), 0) AS kept, 'processed' AS status FROM f LEFT JOIN k USING (source_file) GROUP BY source_file""")
+_FILE = "concat('D', ord % 16, CASE WHEN ord % 16 = 5 THEN '.csv' ELSE '_POI数据.xlsx' END)"
+
+
+@query(f"""WITH {_CHAIN}, f AS (SELECT {_FILE} AS source_file, ord % 16 AS d, count(*) AS rows FROM raw GROUP BY ALL),
+  k AS (SELECT {_FILE} AS source_file, count(*) AS kept FROM judged WHERE reason IS NULL GROUP BY 1)
+  SELECT source_file, rows, CASE WHEN d IN (5, 11) THEN 0 ELSE coalesce(kept, 0) END AS kept, CASE WHEN d IN (5, 11) THEN 'skipped' ELSE 'processed' END AS status,
+    CASE d WHEN 5 THEN 'no district in the name' WHEN 11 THEN 'unknown district' END AS reason FROM f LEFT JOIN k USING (source_file)""")
 def file_report(spark, sf):
     """F21, SRC12: what one job over all files made of each."""
-    raw = raw_places(spark, sf).withColumn("source_file", F.expr("concat('district', ord % 16, '.csv')"))
-    return clean.file_report(raw, clean.cleaned(raw, _DELETED)[0])
+    raw = raw_places(spark, sf).withColumn("source_file", F.expr(_FILE))
+    districts = spark.range(16).filter("id <> 11").selectExpr("concat('D', id) district", "concat('1101', id) adcode")
+    kept = clean.cleaned(raw, _DELETED)[0]
+    return clean.file_report(raw, clean.cleanable(kept, districts), districts)

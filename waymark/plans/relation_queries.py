@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, lines
 from waymark.operators import relations as rel
 from waymark.operators import stats
 from waymark.operators.spatial import distance_join, lines_near, near_any
@@ -72,6 +72,50 @@ def topology_cascade(spark, sf):
     return pairs.groupBy("topology", "road_name").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("total_m"))
 
 
+@query(f"{base.WITH_BENT_TOPOLOGY} SELECT landmark_id, target_id, topology, road_name FROM topology WHERE distance <= 500")
+def bent_road_topology(spark, sf):
+    """J3, J6, J7, G8-G12, G14, G15 along roads with bends and oblique pieces, pair by pair."""
+    pairs = rel.classed(tables.pois(spark, sf), tables.bent_roads(spark, sf), tables.junctions(spark, sf))
+    return pairs.filter("distance <= 500").select("landmark_id", "target_id", "topology", "road_name")
+
+
+@query(f"""WITH {base.POIS}, {base.ROADS}, {base.CANDIDATES}, {base.BENT}, whole AS (SELECT road_id, sum(len) AS size FROM bent_pieces GROUP BY road_id)
+  SELECT id, road_id, round(d, 6) AS d, round(pos, 6) AS pos, round(pos / size, 6) AS fraction FROM bent_places JOIN whole USING (road_id) WHERE d <= 80""")
+def located_on_roads(spark, sf):
+    """Every place's nearest point on each bent road within 80 m: distance, length before it, share of the line."""
+    places, roads = tables.pois(spark, sf), tables.bent_roads(spark, sf)
+    held = roads.select("road_id", lines.segments(F.col("points")).alias("segs"))
+    met = lines_near(places, roads, 80.0).select("id", "road_id").join(places.select("id", "x", "y"), "id").join(held, "road_id")
+    at = lines.located(F.col("segs"), F.col("x"), F.col("y"))
+    part = lines.fraction(F.col("segs"), F.col("x"), F.col("y"))
+    return met.select("id", "road_id", F.round(at["d"], 6).alias("d"), F.round(at["pos"], 6).alias("pos"), F.round(part, 6).alias("fraction"))
+
+
+@query(f"WITH {base.POIS}, {base.ROADS}, {base.CANDIDATES}, {base.BENT} SELECT * FROM bent_crossed")
+def crossed_roads(spark, sf):
+    """The bent roads that the straight line of a close pair crosses."""
+    pairs = rel.candidates(tables.pois(spark, sf)).filter("distance <= 30").select("landmark_id", "target_id", "lx", "ly", "rx", "ry")
+    places = tables.pois(spark, sf)
+    near = lines_near(places, tables.bent_roads(spark, sf), 30.0).select(F.col("id").alias("landmark_id"), "road_id")  # a crossing is no farther than the pair
+    met = pairs.join(near, "landmark_id").join(tables.bent_roads(spark, sf).select("road_id", lines.segments(F.col("points")).alias("segs")), "road_id")
+    over = F.exists("segs", lambda s: lines.crosses(s, F.col("lx"), F.col("ly"), F.col("rx"), F.col("ry")))
+    return met.filter(over).select("landmark_id", "target_id", "road_id")
+
+
+@query(f"""WITH {base.POIS}, {base.ROADS}, {base.CANDIDATES}, {base.BENT}, l AS (SELECT road_id, 0 AS line, CASE WHEN road_id % 3 = 2 THEN list_reverse(points) ELSE points END AS points FROM bent
+    UNION ALL SELECT road_id, 1, [(0.0, 0.0), (1.0, road_id)]::STRUCT(x DOUBLE, y DOUBLE)[] FROM bent WHERE road_id % 2 = 0)
+  SELECT road_id, line, list_transform(points, lambda p: p.x) AS xs, list_transform(points, lambda p: p.y) AS ys FROM l""")
+def merged_lines(spark, sf):
+    """The parts of a bent road, some turned round, are one line again; a part apart is a line of its own."""
+    rows, k, p = tables.bent_roads(spark, sf), F.col("road_id"), F.col("points")
+    a, b, c = F.slice(p, 1, 2), F.slice(p, 2, 2), F.slice(p, 3, 2)
+    apart = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(1.0).alias("x"), k.cast("double").alias("y")))
+    parts = F.when(k % 3 == 0, F.array(a, F.reverse(b), c)).when(k % 3 == 1, F.array(b, F.reverse(c), F.reverse(a))).otherwise(F.array(F.reverse(a), b, c))
+    parts = F.when(k % 2 == 0, F.concat(parts, F.array(apart))).otherwise(parts)
+    found = rows.select("road_id", F.posexplode(lines.merged(parts)).alias("line", "points"))
+    return found.select("road_id", "line", F.transform("points", lambda q: q["x"]).alias("xs"), F.transform("points", lambda q: q["y"]).alias("ys"))
+
+
 _COLUMNS = (
     "landmark_id", "target_id", "distance", "azimuth", "dist_level", "direction_8", "direction_16", "topology", "road_name", "combo_class",
     "is_ambiguous", "deviation", "ambiguity_level", "scene_code", "template_key", "has_road_ref",

@@ -184,7 +184,7 @@ _MODE = f"(CASE WHEN distance > 3000 OR {_u(14)} >= 0.5 THEN '开车' ELSE '步
 _PRECISE = """CASE WHEN distance = 0 THEN '0米（就在此处）' WHEN distance >= 1000 THEN '约' || CASE WHEN round_even(distance / 1000, 1) = floor(round_even(distance / 1000, 1))
   THEN floor(round_even(distance / 1000, 1))::INT::VARCHAR ELSE printf('%.1f', round_even(distance / 1000, 1)) END || '公里' ELSE '约' || greatest(10, (round_even(distance / 10, 0) * 10)::INT) || '米' END"""
 _DIST = f"""CASE tg WHEN 'precise' THEN {_PRECISE} WHEN 'functional' THEN CASE WHEN distance = 0 THEN '就在此处' WHEN {_MIN} < 1 THEN {_MODE} || '不到1分钟' WHEN round_even({_MIN}, 0) > 60 THEN {_ULTRA}
-  ELSE {_MODE} || '约' || round_even({_MIN}, 0)::INT || '分钟' END WHEN 'ultra_vague' THEN {_ULTRA} ELSE {_pick_of(textgen.VAGUE, 11)} END"""
+  ELSE {_MODE} || {_pick(textgen.ABOUT, 15)} || round_even({_MIN}, 0)::INT || '分钟' END WHEN 'ultra_vague' THEN {_ULTRA} ELSE {_pick_of(textgen.VAGUE, 11)} END"""
 _FAMILIES = ", ".join(f"('{k}', [{', '.join(f"'{t}'" for t in v)}])" for k, v in textgen.DEFAULT_TEMPLATES.items())
 _DESCRIBED = f"""{base.RELATIONS}, families(family, templates) AS (VALUES {_FAMILIES}),
   named AS (SELECT k.*, l.name AS landmark_name, t.name AS target_name, t.type_3 AS target_type_3 FROM kept k JOIN pois l ON l.id = k.landmark_id JOIN pois t ON t.id = k.target_id),
@@ -303,27 +303,73 @@ def redundancy_and_triggers(spark, sf):
     return rows.select("landmark_id", "target_id", "variant", "cleaned", needs.alias("needs"))
 
 
-@query(f"""{_DESCRIBED} SELECT landmark_id, target_id, variant, description_raw AS description FROM described""")
+def _service(texts):  # noqa: ANN001, ANN202
+    """A stand-in service whose answers tell nothing of batches: it drops directions from half of the texts, ends others
+    with a mark, returns one answer too few for batches that hold some texts, and fails for others."""
+    import hashlib
+
+    kinds = [hashlib.md5(t.encode()).hexdigest()[0] for t in texts]
+    if "f" in kinds:
+        raise ValueError("no answer")
+    out = [t.translate({ord(c): None for c in "东南西北"}) if k in "01234567" else f"{t}。" for t, k in zip(texts, kinds, strict=True)]
+    return out[1:] if "e" in kinds and len(out) > 1 else out
+
+
+_KIND = "substr(md5(description_raw), 1, 1)"
+_CARDINAL = "CASE direction_8 " + " ".join(f"WHEN '{n}' THEN '{textgen.ROOTS[n]}'" for n in ("North", "South", "East", "West")) + " END"
+
+
+@query(f"""{_DESCRIBED}, x AS (SELECT *, coalesce(contains(template_key, 'Intersection') OR ambiguity_level = 'MODERATE' OR (dist_level = 'Far' AND distance > 800)
+    OR (length(description_raw) > 40 AND length(description_raw) - length(translate(description_raw, '，。；', '')) >= 2), false) AS needs FROM described),
+  y AS (SELECT *, CASE WHEN NOT needs OR {_KIND} = 'f' THEN description_raw WHEN {_KIND} < '8' THEN translate(description_raw, '东南西北', '') ELSE description_raw || '。' END AS answer,
+    {_CARDINAL} AS cardinal FROM x)
+  SELECT landmark_id, target_id, variant, CASE WHEN coalesce(direction_8, '') <> '' AND NOT contains(answer, '方向') AND ((regexp_matches(description_raw, '[东南西北]') AND NOT regexp_matches(answer, '[东南西北]'))
+    OR (cardinal IS NOT NULL AND NOT contains(answer, cardinal) AND NOT contains(answer, '那边'))) THEN description_raw ELSE answer END AS description FROM y""")
 def refined_descriptions(spark, sf):
-    """Through the stand-in client, checked afterwards."""
+    """Through a stand-in service that fails, miscounts and drops directions, checked afterwards."""
     rows = _described(spark, sf)
     needs = textgen.needs_refining(F.col("template_key"), F.col("ambiguity_level"), F.col("dist_level"), F.col("distance"), F.col("description_raw"))
     rows = rows.select("landmark_id", "target_id", "variant", "direction_8", "description_raw", needs.alias("needs"))
-    rows = refine.refined(rows, "description_raw", "answer", when="needs")
+    rows = refine.refined(rows, "description_raw", "answer", client=_service, when="needs")
     ok = textgen.keeps_direction(F.col("description_raw"), F.col("answer"), F.col("direction_8"))
     return rows.select("landmark_id", "target_id", "variant", F.when(ok, F.col("answer")).otherwise(F.col("description_raw")).alias("description"))
 
 
-@query(f"""WITH t(family, template) AS (SELECT family, unnest(templates) FROM (VALUES {_FAMILIES}) f(family, templates) UNION ALL VALUES ('X', '往东走到{{target}}'), ('X', '{{landmark}}{{odd}}'))
-  SELECT family, template, len(list_distinct(regexp_extract_all(template, '\\{{([a-z_]+)\\}}', 1))) AS slots, len(list_filter(regexp_extract_all(template, '\\{{([a-z_]+)\\}}', 1), lambda s: s NOT IN ('landmark', 'target', 'road', 'dir_text', 'dist_text'))) = 0
-  AND contains(template, '{{landmark}}') AND NOT regexp_matches(regexp_replace(template, '\\{{[a-z_]+\\}}', '', 'g'), '[东南西北]') AS good FROM t""")
+@query("""SELECT c_custkey AS k, CASE WHEN substr(md5(c_name), 1, 1) = 'f' THEN NULL WHEN substr(md5(c_name), 1, 1) < '8' THEN translate(c_name, '东南西北', '') ELSE c_name || '。' END AS translated FROM customer""")
+def translated_names(spark, sf):
+    """Batches of 20, one by one where a batch fails or is miscounted, null where a single text fails."""
+    rows = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return refine.refined(rows, "c_name", "translated", client=_service, size=20, fallback=False).drop("c_name")
+
+
+_ODD_TEMPLATES = ("往东走到{target}", "{landmark}{odd}", "{landmark}前面就是{target}", "{landmark}左转{dist_text}", "{Landmark}{dir_text}", "{landmark}{下方}", "{landmark}往{dir_text}")
+
+
+@query(f"""WITH t(family, template) AS (SELECT family, unnest(templates) FROM (VALUES {_FAMILIES}) f(family, templates) UNION ALL VALUES {", ".join(f"('X', '{t}')" for t in _ODD_TEMPLATES)}),
+  u AS (SELECT *, regexp_extract_all(template, '\\{{(\\w+)\\}}', 1) AS slots, regexp_matches(regexp_replace(template, '\\{{[^}}]*\\}}', '', 'g'), '[东南西北左右前后上下]') AS hard FROM t)
+  SELECT family, template, len(list_distinct(slots)) AS slots, contains(template, '{{landmark}}') AND NOT hard AND len(list_filter(slots, lambda s: s NOT IN ('landmark', 'target', 'road', 'dir_text', 'dist_text'))) = 0 AS good,
+  contains(template, '{{landmark}}') AND NOT hard AS good_unlisted FROM u""")
 def template_quality(spark, sf):
-    """X16, U4, SRC14."""
+    """X16, U4, SRC14: with a list of valid slots, and without."""
     from waymark.sources import lexicons
 
-    rows = lexicons.template_table(spark, {**textgen.DEFAULT_TEMPLATES, "X": ("往东走到{target}", "{landmark}{odd}")}).drop("idx")
+    rows = lexicons.template_table(spark, {**textgen.DEFAULT_TEMPLATES, "X": _ODD_TEMPLATES}).drop("idx")
     t = F.col("template")
-    return rows.select("family", "template", F.size(textgen.placeholders(t)).alias("slots"), textgen.good_template(t, ["landmark", "target", "road", "dir_text", "dist_text"], ["landmark"]).alias("good"))
+    good = [textgen.good_template(t, valid, ["landmark"]).alias(name) for name, valid in (("good", ["landmark", "target", "road", "dir_text", "dist_text"]), ("good_unlisted", []))]
+    return rows.select("family", "template", F.size(textgen.placeholders(t)).alias("slots"), *good)
+
+
+@query(f"""WITH made(template) AS (VALUES {", ".join(f"('{t}')" for t in (*_ODD_TEMPLATES, *textgen.DEFAULT_TEMPLATES["SCENE-C"]))}),
+  held AS (SELECT 'SCENE-C' AS family, template FROM (VALUES {", ".join(f"('{t}')" for t in textgen.DEFAULT_TEMPLATES["SCENE-C"])}) h(template))
+  SELECT * FROM held UNION ALL SELECT 'SCENE-C', template FROM made WHERE contains(template, '{{landmark}}') AND NOT regexp_matches(regexp_replace(template, '\\{{[^}}]*\\}}', '', 'g'), '[东南西北左右前后上下]')
+  AND len(list_filter(regexp_extract_all(template, '\\{{(\\w+)\\}}', 1), lambda s: s NOT IN ('landmark', 'target', 'dir_text', 'dist_text'))) = 0 AND template NOT IN (SELECT template FROM held)""")
+def merged_templates(spark, sf):
+    """Good new templates join their family."""
+    from waymark.sources import lexicons
+
+    of = lambda templates: lexicons.template_table(spark, {"SCENE-C": templates}).drop("idx")
+    held = textgen.DEFAULT_TEMPLATES["SCENE-C"]
+    return textgen.merged_templates(of(held), of((*_ODD_TEMPLATES, *held)), ["landmark", "target", "dir_text", "dist_text"], ["landmark"])
 
 
 @query("""SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN ['a' || n_nationkey, 'b'] ELSE ['first ' || n_nationkey, 'second'] END AS texts FROM nation""")

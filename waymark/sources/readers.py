@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.functions.geo import transverse_mercator
+
 PAGE_ROWS, MOST_PAGES, RETRIES = 25, 8, 3
 
 
@@ -48,18 +50,20 @@ def json_places(df: DataFrame, column: str) -> DataFrame:
 Fetch = Callable[[str, int], Sequence[str]]
 
 
-def pages(fetch: Fetch, code: str, most: int = MOST_PAGES, wait: Callable[[float], None] = time.sleep) -> Iterator[str]:
-    """All rows of a code, page by page, until a page isn't full. A failing call is tried again, later each time."""
+def pages(fetch: Fetch, code: str, most: int = MOST_PAGES, wait: Callable[[float], None] = time.sleep) -> Iterator[tuple[str | None, str | None]]:
+    """All rows of a code, page by page, until a page isn't full, as ``(row, None)``. A failing call is tried again, later
+    each time; where it keeps failing, what is missing is told by a last ``(None, error)``."""
     for page in range(1, most + 1):
         for attempt in range(1, RETRIES + 1):
             try:
                 rows = list(fetch(code, page))
                 break
-            except OSError:
+            except OSError as error:
                 if attempt == RETRIES:
+                    yield None, f"page {page} and after: {type(error).__name__} {error}".rstrip()
                     return
                 wait(10.0 * attempt)
-        yield from rows
+        yield from ((row, None) for row in rows)
         if len(rows) < PAGE_ROWS:
             return
 
@@ -76,13 +80,14 @@ class PagedReader(DataSourceReader):
         return [_Code(c) for c in self.codes]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in pages(self.fetch, partition.value):
-            yield partition.value, row
+        for row, error in pages(self.fetch, partition.value):
+            yield partition.value, row, error
 
 
 def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged") -> type[DataSource]:
     """A data source class that reads each code's pages in a task of its own: register it, then
-    ``spark.read.format(name).load()``. ``fetch(code, page)`` gives rows as JSON text."""
+    ``spark.read.format(name).load()``. ``fetch(code, page)`` gives rows as JSON text. A code of which pages are
+    missing has a row with ``error``."""
     held = sorted({str(c).zfill(6) for c in codes})
 
     class Paged(DataSource):
@@ -91,7 +96,7 @@ def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged"
             return name
 
         def schema(self) -> str:
-            return "code string, json string"
+            return "code string, json string, error string"
 
         def reader(self, schema: object) -> DataSourceReader:
             return PagedReader(fetch, held)
@@ -129,15 +134,63 @@ def _wkb_head(blob: bytes, at: int) -> tuple[str, int]:
     return order, struct.unpack_from(order + "I", blob, at + 1)[0]
 
 
-def geopackage(spark: SparkSession, path: str, table: str, geometry: str = "geom", columns: Sequence[str] = ()) -> DataFrame:
-    """Features of a GeoPackage file, read on the driver, with ``points`` in the file's own coordinates. A line of
-    several parts gives a row for each, with the feature's columns."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
-        names = ", ".join(f'"{c}"' for c in (geometry, *columns))
-        found = con.execute(f'SELECT {names} FROM "{table}"')
-        rows = [(*(None if v is None else str(v) for v in rest), line) for blob, *rest in found for line in _lines(blob)]
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.createDataFrame(rows, f"{schema}{', ' if schema else ''}points array<struct<x:double,y:double>>")
+class _Rows(InputPartition):
+    pass
+
+
+class GeoPackageReader(DataSourceReader):
+    """Features by ranges of row numbers, each range in a task of its own."""
+
+    def __init__(self, path: str, table: str, geometry: str, columns: Sequence[str], rows: int) -> None:
+        self.path, self.table, self.geometry, self.columns, self.rows = path, table, geometry, list(columns), rows
+
+    def _found(self, sql: str, *values: int) -> Iterator[tuple]:
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
+            yield from con.execute(sql, values)
+
+    def partitions(self) -> list[InputPartition]:
+        least, most = next(self._found(f'SELECT min(rowid), max(rowid) FROM "{self.table}"'))
+        if least is None:
+            return [_Rows((1, 0))]
+        return [_Rows((at, min(most, at + self.rows - 1))) for at in range(least, most + 1, self.rows)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        names = ", ".join(f'"{c}"' for c in (self.geometry, *self.columns))
+        for blob, *rest in self._found(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?', *partition.value):
+            srs = struct.unpack_from("<i" if blob[3] & 1 else ">i", blob, 4)[0] if blob and blob[:2] == b"GP" else None
+            for line in _lines(blob):
+                yield (*(None if v is None else str(v) for v in rest), srs, line)
+
+
+def geopackage(spark: SparkSession, path: str, table: str, geometry: str = "geom", columns: Sequence[str] = (), rows: int = 50_000) -> DataFrame:
+    """Features of a GeoPackage file that executors can open, with ``points`` in the file's own coordinates and their
+    system's ``srs_id``. A line of several parts gives a row for each, with the feature's columns."""
+    schema = ", ".join([*(f"`{c}` string" for c in columns), "srs_id int", "points array<struct<x:double,y:double>>"])
+
+    class GeoPackage(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "waymark_geopackage"
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, _: object) -> DataSourceReader:
+            return GeoPackageReader(path, table, geometry, columns, rows)
+
+    spark.dataSource.register(GeoPackage)
+    return spark.read.format("waymark_geopackage").load()
+
+
+def in_metres(df: DataFrame, points: str = "points", srs: str = "srs_id") -> DataFrame:
+    """``df`` with geographic ``points`` (EPSG:4326) projected to UTM zone 50 N, others as they are."""
+
+    def projected(p: Column) -> Column:
+        x, y = transverse_mercator(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    turned = F.when(F.col(srs) == 4326, F.transform(points, projected)).otherwise(F.col(points))
+    return df.withColumns({points: turned, srs: F.when(F.col(srs) == 4326, 32650).otherwise(F.col(srs)).cast("int")})
 
 
 def coordinates(df: DataFrame, key: Column, x: str, y: str, order: str) -> DataFrame:

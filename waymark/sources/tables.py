@@ -48,3 +48,12 @@ def junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = rows.filter("v").select(F.col("name").alias("a"), "x", F.lit(1).alias("one"))
     across = rows.filter("not v").select(F.col("name").alias("b"), "y", F.lit(1).alias("one"))
     return up.join(across, "one").select(F.concat_ws("/", "a", "b").alias("name"), "x", "y")
+
+
+def bent_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roads of the grid with two bends each, all pieces oblique: ``(road_id, name, width, points)``."""
+    k, p = F.col("road_id"), F.lit(120.0) * (F.col("road_id") + 1)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    up = F.array(at(p, F.lit(-200)), at(p + 60, F.lit(800)), at(p - 40 + 10 * (k % 5), F.lit(1900)), at(p + 30, F.lit(3400)))
+    across = F.array(at(F.lit(-200), p), at(F.lit(700), p + 50), at(F.lit(1800), p - 60), at(F.lit(3400), p + 20))
+    return roads(spark, sf_dir).select("road_id", "name", "width", F.when(k % 2 == 0, up).otherwise(across).alias("points"))
