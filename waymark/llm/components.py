@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import staged
+from waymark.llm.shared import discard, staged
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     state = _state(now)
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)), "stars")
+        before, now = now, staged(_small_star(_large_star(now)), "stars")
+        discard(before)
         after = _state(now)
         if after == state:
             break

@@ -42,11 +42,14 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def clear_staged(spark: SparkSession, since: int, *keep: str) -> None:
     """Deletes the intermediate tables that this process has written from number ``since`` on, except ``keep``; what
     reads them is void then. Others' tables, and those that earlier results still read, stay."""
-    jvm = spark.sparkContext._jvm
     for path in [p for p in _STAGED[since:] if p not in keep]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        _STAGED.remove(path)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _STAGED.remove(path)
 
 
 def staged_count() -> int:
@@ -56,7 +59,15 @@ def staged_count() -> int:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = staged_path(df.sparkSession, name)
-    return written(df, path)
+    out = written(df, path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.staged_at)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
