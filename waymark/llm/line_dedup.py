@@ -20,13 +20,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import numbered, staged
+from waymark.llm.shared import discard, numbered, staged
 
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
 FACTOR = 31
 WORDS = 50
+NEAR_LINES = 4
+REPORT = ("lines_before", "lines_after", "passages_removed")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -67,11 +69,12 @@ def passage_spans(lines: Column, words: int = WORDS) -> Column:
     counted = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("w")))
 
     def of(full: Column) -> Column:
-        def reach(k: Column, step: int) -> Column:
+        def reach(k: Column, step: int, most: int = NEAR_LINES) -> Column:
             start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
             word = lambda d: F.coalesce(F.get(full, k + step * d)["w"], F.lit(0))
             add = lambda a, d: F.when(a["sum"] > words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + word(d)).alias("sum")))
-            return F.aggregate(F.array(*map(F.lit, range(words + 1))), start, add, lambda a: F.when(a["sum"] > words, a["n"]))
+            found = F.aggregate(F.array(*map(F.lit, range(most))), start, add, lambda a: F.when(a["sum"] > words, a["n"]))
+            return found if most > words else F.coalesce(found, reach(k, step, words + 1))  # few lines are enough as a rule
 
         line = lambda k: F.get(full, k)["i"]
         numbers = F.when(F.size(full) > 0, F.sequence(F.lit(0), F.size(full) - 1)).otherwise(F.array().cast("array<int>"))
@@ -106,7 +109,7 @@ def deduplicated(
 ) -> DataFrame:
     """``docs`` with repeated passages removed from its texts; other columns and all rows stay.
 
-    ``report`` adds ``lines_before``, ``lines_after`` and ``passages_removed``. A null text stays null; a text of which
+    ``report`` adds the columns ``REPORT``, to which others of those names give way. A null text stays null; a text of which
     all is repeated becomes empty. Rows are judged each, in the order of their ids, null ids last, and rows of one id
     in that of a hash of their texts; so the first of exactly repeated rows keeps what the others lose.
     """
@@ -120,11 +123,12 @@ def deduplicated(
     each = staged(each.select("row", "at", F.explode("all").alias("c")).select("row", "at", "c.*"), "line-spans")
     place = F.struct("at", "i")
     # Partial aggregation leaves a row for each hash and task, however often a passage is repeated.
-    firsts = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    firsts = staged(firsts.select("h", "first"), "line-firsts")  # a join of two shuffles, of which AQE splits hot hashes
-    again = each.join(firsts, "h").select("row", F.struct("i", "j", "h", (F.col("first") == place).alias("stays")).alias("a"))
+    firsts = each.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = staged(firsts.select("h", F.col("first.at.row").alias("row0"), F.col("first.i").alias("i0")), "line-firsts")  # a join of two shuffles, of which AQE splits hot hashes
+    again = each.join(firsts, "h").select("row", F.struct("i", "j", "h", ((F.col("row") == F.col("row0")) & (F.col("i") == F.col("i0"))).alias("stays")).alias("a"))
     met = texts.select("row", "text").join(again.groupBy("row").agg(F.collect_list("a").alias("again")), "row")
     met = staged(met, "line-again")
+    discard(each, firsts)
 
     differing = staged(_differing(met), "line-differing")
     if not differing.isEmpty():  # equal hashes of unequal bytes: those hashes remove nothing
@@ -143,13 +147,14 @@ def deduplicated(
     met_name = f"{row_col}_found"
     out = held.join(kept.withColumnRenamed("found", met_name), row_col, "left")
     row, found = F.col(f"`{text_col}`"), F.col(met_name)
-    columns = [F.when(found.isNull(), row).otherwise(found["kept"]["text"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    told = REPORT if report else ()
+    columns = [F.when(found.isNull(), row).otherwise(found["kept"]["text"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in told]
     if report:
         before = F.when(row.isNull(), 0).otherwise(F.size(F.split(row, "\n", -1)))
         columns += [
-            before.cast("long").alias("lines_before"),
-            F.when(found.isNull(), before).otherwise(found["kept"]["lines"]).cast("long").alias("lines_after"),
-            F.coalesce(found["n"], F.lit(0)).cast("long").alias("passages_removed"),
+            before.cast("long").alias(REPORT[0]),
+            F.when(found.isNull(), before).otherwise(found["kept"]["lines"]).cast("long").alias(REPORT[1]),
+            F.coalesce(found["n"], F.lit(0)).cast("long").alias(REPORT[2]),
         ]
     return out.select(*columns)
 
