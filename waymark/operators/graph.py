@@ -51,6 +51,47 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def merged_chains(roads: DataFrame) -> DataFrame:
+    """``(road_id, parts, points)``: lines that meet end to end where no third line does are one, under their smallest id,
+    running from its smaller end. A ring begins at its smallest corner where lines meet. Lines without two points are left out.
+
+    Lines are tied where an end is of two lines only, so that a task holds one chain at a time.
+    """
+    held = roads.filter("size(points) >= 2").select("road_id", "points")
+    ends = held.select("road_id", F.explode(F.array(F.element_at("points", 1), F.element_at("points", -1))).alias("node"))
+    ties = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("road_id").alias("a"), F.max("road_id").alias("b")).filter("n = 2 and a <> b")
+    groups = components(staged(ties.select("a", "b").distinct(), "chain-ties")).select(F.col("node").alias("road_id"), F.col("component").alias("chain"))
+    parts = held.join(groups, "road_id", "left").select(F.coalesce("chain", "road_id").alias("road_id"), F.array(F.transform("points", lambda p: F.array(p["x"], p["y"]))).alias("p"))
+    chains = parts.groupBy("road_id").agg(F.flatten(F.collect_list("p")).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_chained([[tuple(p) for p in line] for line in lines]) for lines in batch.column(1).to_pylist()]
+            points = pa.array([[{"x": x, "y": y} for x, y in line] for line in made], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1)], pa.int32()), points], names=["road_id", "parts", "points"])
+
+    return chains.mapInArrow(run, "road_id long, parts int, points array<struct<x:double,y:double>>")
+
+
+def _chained(lines: list[list[tuple[float, float]]]) -> list[tuple[float, float]]:
+    """One line of several that form a chain or a ring."""
+    at: dict[tuple[float, float], list[int]] = {}
+    for k, line in enumerate(lines):
+        for end in (line[0], line[-1]):
+            at.setdefault(end, []).append(k)
+    loose = [p for p, held in at.items() if len(held) == 1]
+    here = min(loose or at)
+    out, left = [here], set(range(len(lines)))
+    while step := [k for k in at[here] if k in left]:
+        # Of a ring's two ways the one with the smaller next point; else there is one.
+        k = min(step, key=lambda k: lines[k][1] if lines[k][0] == here else lines[k][-2])
+        left.remove(k)
+        line = lines[k] if lines[k][0] == here else lines[k][::-1]
+        out += line[1:]
+        here = line[-1]
+    return out
+
+
 def largest(edges: DataFrame) -> DataFrame:
     """The edges of the component with most nodes (the smallest label at a tie)."""
     found = components(edges)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.spatial import nearest
 from waymark.operators.staging import running
-from waymark.operators.stats import min_max, with_scalars
+from waymark.operators.stats import beside, min_max, quantiles, with_scalars
 
 # Weights of the signals, the sigmoid, and the quota of a grid cell.
 COGNITION_WEIGHTS = (0.2, 0.35, 0.25, 0.2)
@@ -98,7 +98,7 @@ def uniqueness(df: DataFrame, name: str, key: str, suffixes: Sequence[str] = ())
 
 def category_fame(df: DataFrame, category: str, q: float = 0.9) -> DataFrame:
     """Adds ``fame``: the share of a category's rows whose uniqueness is over the table's quantile."""
-    held = with_scalars(df, df.agg(F.percentile("uniqueness", q).alias("_q")))
+    held = with_scalars(df, quantiles(df, {"_q": ("uniqueness", q)}))
     fame = held.groupBy(category).agg(F.avg((F.col("uniqueness") > F.col("_q")).cast("int")).alias("fame"))
     return df.join(fame, category, "left")
 
@@ -135,13 +135,8 @@ def selected_landmarks(df: DataFrame, key: str = "id", grid: float = GRID_METRES
     In each cell the rows from the cell's 70th percentile of the composite score on are ranked by class, then score,
     then key; the cell's quota of them is selected.
     """
-    q = lambda c, p, n: F.percentile(c, p).alias(n)
-    bounds = df.agg(
-        F.min("x").alias("_x"), F.min("y").alias("_y"),
-        q("spatial_score", 0.6, "_s6"), q("spatial_score", 0.7, "_s7"), q("spatial_score", 0.8, "_s8"),
-        q("cognition_score", 0.6, "_c6"), q("cognition_score", 0.7, "_c7"), q("cognition_score", 0.8, "_c8"),
-    )
-    rows = with_scalars(df, bounds)
+    shares = {f"_{c[0]}{k}": (c, k / 10) for c in ("spatial_score", "cognition_score") for k in (6, 7, 8)}
+    rows = with_scalars(df, beside(df.agg(F.min("x").alias("_x"), F.min("y").alias("_y")), quantiles(df, shares)))
     s, c = F.col("spatial_score"), F.col("cognition_score")
     label = (
         F.when((s >= F.col("_s8")) & (c >= F.col("_c8")), 1)

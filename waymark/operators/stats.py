@@ -74,9 +74,9 @@ def stratified_sample(df: DataFrame, column: str, total: int, least: int, order:
     return ranked.filter("_n <= _quota").drop("_n", "_quota")
 
 
-def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows by a seeded hash of their key: the same in every run and partitioning."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42, order: Sequence[Column | str] | None = None) -> DataFrame:
+    """``n`` rows by a seeded hash of their key, or by ``order``: the same in every run and partitioning."""
+    return df.orderBy(*(order or [F.xxhash64(key, F.lit(seed)), key])).limit(n)
 
 
 def min_max(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -99,14 +99,35 @@ def corrected_kurtosis(column: str) -> Column:
     return F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(column) + 6)
 
 
-def descriptives(df: DataFrame, column: str, population: bool = True, quantiles: Sequence[float] = (0.25, 0.75, 0.9, 0.95)) -> DataFrame:
-    """Count, mean, median, sd, range, skewness, kurtosis and quantiles in one pass."""
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with the interpolated quantile ``name: (column, share)`` of the values that are not null, exactly, from the
+    running totals of the distinct values' counts: no task holds the values, as it would to sort them in a buffer."""
+    rows = []
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+        upto = running(counts, [F.col("_v")], F.col("_n"), "_upto", "quantiles")
+        held = with_scalars(upto, upto.agg(F.sum("_n").alias("_total")))
+        made = []
+        for name, q in ((n, q) for n, (c, q) in wanted.items() if c == column):
+            at = (F.col("_total") - 1) * F.lit(float(q))
+            value = lambda i: F.max(F.when((i >= F.col("_upto") - F.col("_n")) & (i < F.col("_upto")), F.col("_v")))
+            made += [value(F.floor(at)).alias(f"_lo_{name}"), value(F.ceil(at)).alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_part_{name}")]
+        rows.append(held.agg(*made))
+    out = beside(*rows)
+    lo, hi, part = (lambda n, k=k: F.col(f"_{k}_{n}") for k in ("lo", "hi", "part"))
+    return out.select(*(F.when(lo(n) == hi(n), lo(n)).otherwise(lo(n) * (1 - part(n)) + hi(n) * part(n)).alias(n) for n in wanted))
+
+
+def descriptives(df: DataFrame, column: str, population: bool = True, shares: Sequence[float] = (0.25, 0.75, 0.9, 0.95)) -> DataFrame:
+    """Count, mean, median, sd, range, skewness, kurtosis and quantiles."""
     skew, kurt = (F.skewness(column), F.kurtosis(column)) if population else (corrected_skewness(column), corrected_kurtosis(column))
     made = {
-        "n": F.count(column), "mean": F.avg(column), "median": F.median(column), "sd": F.stddev_samp(column),
-        "min": F.min(column), "max": F.max(column), "skew": skew, "kurt": kurt,
-    } | {f"p{round(q * 100)}": F.percentile(column, q) for q in quantiles}
-    return df.agg(*(F.round(v, 6).alias(k) if k != "n" else v.alias(k) for k, v in made.items()))
+        "n": F.count(column), "mean": F.avg(column), "sd": F.stddev_samp(column), "min": F.min(column), "max": F.max(column), "skew": skew, "kurt": kurt,
+    }
+    ranks = {"median": (column, 0.5)} | {f"p{round(q * 100)}": (column, q) for q in shares}
+    both = beside(df.agg(*(v.alias(k) for k, v in made.items())), quantiles(df, ranks))
+    names = ["n", "mean", "median", "sd", "min", "max", "skew", "kurt", *list(ranks)[1:]]
+    return both.select(*(F.round(k, 6).alias(k) if k != "n" else F.col(k) for k in names))
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:

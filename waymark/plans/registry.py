@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.plans import clean_queries, export_queries, graph_queries, relation_queries, salience_queries, text_queries
+from waymark.plans import clean_queries, export_queries, graph_queries, io_queries, relation_queries, salience_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relation_queries, clean_queries, salience_queries, text_queries, graph_queries, export_queries)
+_MODULES = (relation_queries, clean_queries, salience_queries, text_queries, graph_queries, export_queries, io_queries)
 
 
 def queries() -> dict[str, Query]:

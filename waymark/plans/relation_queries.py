@@ -307,15 +307,15 @@ def relation_quality(spark, sf):
     return _kept(spark, sf).groupBy(label.alias("quality")).agg(F.count("*").alias("n"))
 
 
+@query(f"""{base.WITH_TOPOLOGY}, {base.LABELS} SELECT landmark_id, target_id, topology, dist_level FROM (SELECT *, row_number() OVER (PARTITION BY landmark_id, topology, dist_level
+  ORDER BY md5(landmark_id || '-' || target_id || '-42'), target_id) AS rn FROM labelled) WHERE rn <= max_keep""")
 def relations_hash_choice(spark, sf):
-    """W1 with the seeded hash order; SQL has no such hash."""
-    kept = rel.relations(tables.pois(spark, sf), tables.roads(spark, sf), tables.junctions(spark, sf))
+    """W1 with a seeded hash order, one that SQL has."""
+    order = [F.md5(F.concat_ws("-", "landmark_id", "target_id", F.lit(42))), F.col("target_id")]
+    kept = rel.relations(tables.pois(spark, sf), tables.roads(spark, sf), tables.junctions(spark, sf), order=order)
     return kept.select("landmark_id", "target_id", "topology", "dist_level")
 
 
-QUERIES["relations_hash_choice"] = (relations_hash_choice, None)
-
-
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, name, n, percent FROM ({_distribution_sql(c, names)})" for k, c, names in (
     ("direction", "direction_8", geo.DIRECTIONS_8), ("distance", "dist_level", [n for n, _ in geo.DIST_BANDS]), ("topology", "topology", geo.TOPOLOGIES),
     ("ambiguity", "ambiguity_level", [*(n for n, _ in geo.AMBIGUITY_BANDS), "CROSS_BOUNDARY"]))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import salience, stats
+from waymark.operators import figures, salience, stats
 from waymark.operators.spatial import nearest
 from waymark.plans import base
 from waymark.sources import tables
@@ -165,7 +165,7 @@ def descriptives_population(spark, sf):
   round(max(l_quantity), 6) AS max, round(skewness(l_quantity), 6) AS skew, round(kurtosis(l_quantity), 6) AS kurt FROM lineitem""")
 def descriptives_corrected(spark, sf):
     """A14."""
-    return stats.descriptives(tables.table(spark, sf, "lineitem"), "l_quantity", population=False, quantiles=())
+    return stats.descriptives(tables.table(spark, sf, "lineitem"), "l_quantity", population=False, shares=())
 
 
 @query("""WITH v AS (SELECT c_acctbal - 3000 AS v FROM customer) SELECT count(*) FILTER (v > 0) AS n, round(avg(v) FILTER (v > 0), 6) AS mean, round(max(v) FILTER (v > 0), 6) AS max,
@@ -200,7 +200,8 @@ def _q(p: int) -> str:
   FROM scores, (SELECT {_q(80)}, {_q(75)}, {_q(60)} FROM scores)""")
 def quadrants_overlapping(spark, sf):
     """A17."""
-    rows = stats.with_scalars(df := _scores(spark, sf), df.agg(*(F.percentile(f"{k}_score", p / 100).alias(f"{k[0]}{p}") for k in ("spatial", "cognition") for p in (80, 75, 60))))
+    shares = {f"{k[0]}{p}": (f"{k}_score", p / 100) for k in ("spatial", "cognition") for p in (80, 75, 60)}
+    rows = stats.with_scalars(df := _scores(spark, sf), stats.quantiles(df, shares))
     s, c, v = F.col("spatial_score"), F.col("cognition_score"), F.col
     return rows.agg(
         F.count_if((s >= v("s80")) & (c >= v("c80"))).alias("q1"), F.count_if((c >= v("c75")) & (s <= v("s60"))).alias("q2"),
@@ -212,7 +213,7 @@ _QUADRANT = "CASE WHEN spatial_score >= s75 AND cognition_score >= c75 THEN 'Q1'
 
 
 def _with_quadrant(df: DataFrame) -> DataFrame:
-    held = stats.with_scalars(df, df.agg(F.percentile("spatial_score", 0.75).alias("s75"), F.percentile("cognition_score", 0.75).alias("c75")))
+    held = stats.with_scalars(df, stats.quantiles(df, {"s75": ("spatial_score", 0.75), "c75": ("cognition_score", 0.75)}))
     return held.withColumn("quadrant", F.expr(_QUADRANT))
 
 
@@ -342,9 +343,43 @@ def histogram_data(spark, sf):
     return rows.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '-42'), o_orderkey LIMIT 20000")
 def seeded_sample(spark, sf):
-    """20,000 rows, or all of fewer; the same in every run. SQL has no such hash."""
-    return stats.hash_sample(tables.table(spark, sf, "orders"), 20_000, "o_orderkey").select("o_orderkey")
+    """20,000 rows, or all of fewer; the same in every run."""
+    order = [F.md5(F.concat_ws("-", "o_orderkey", F.lit(42))), "o_orderkey"]
+    return stats.hash_sample(tables.table(spark, sf, "orders"), 20_000, "o_orderkey", order=order).select("o_orderkey")
 
 
-QUERIES["seeded_sample"] = (seeded_sample, None)
+_PLACES = "SELECT *, lo + (hi - lo) * k / 49e0 AS x FROM (SELECT *, unnest(range(50)) AS k FROM b)"
+
+
+@query(f"""WITH v AS (SELECT c_mktsegment AS segment, c_acctbal::DOUBLE AS v FROM customer),
+  b AS (SELECT segment, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS width FROM v GROUP BY segment), g AS ({_PLACES})
+  SELECT segment, k, round(x, 6) AS x, round(sum(exp(-0.5 * pow((v - x) / width, 2))) / (n * width * sqrt(2 * pi())), 9) AS density FROM g JOIN v USING (segment) GROUP BY segment, k, x, n, width""")
+def violin_data(spark, sf):
+    """SNK10: what violins and density curves draw."""
+    rows = tables.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    return figures.density(rows, "c_acctbal", by="segment").withColumns({"x": F.round("x", 6), "density": F.round("density", 9)})
+
+
+@query(f"""WITH v AS (SELECT c_acctbal::DOUBLE AS v FROM customer), b AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS width FROM v), g AS ({_PLACES})
+  SELECT k, round(x, 6) AS x, round(sum(exp(-0.5 * pow((v - x) / width, 2))) / (n * width * sqrt(2 * pi())), 9) AS density FROM g, v GROUP BY k, x, n, width""")
+def density_data(spark, sf):
+    """SNK10."""
+    found = figures.density(tables.table(spark, sf, "customer"), "c_acctbal")
+    return found.withColumns({"x": F.round("x", 6), "density": F.round("density", 9)})
+
+
+@query(f"""WITH v AS (SELECT l_extendedprice::DOUBLE AS v FROM lineitem), b AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM v), g AS ({_PLACES})
+  SELECT k, round(x, 6) AS x, round((count(*) FILTER (v <= x)) / any_value(n), 9) AS share FROM g, v GROUP BY k, x""")
+def cumulative_data(spark, sf):
+    """SNK10: what a cumulative curve draws."""
+    found = figures.cumulative(tables.table(spark, sf, "lineitem"), "l_extendedprice")
+    return found.withColumns({"x": F.round("x", 6), "share": F.round("share", 9)})
+
+
+@query(f"""WITH {base.POIS}, v AS (SELECT x, score AS y FROM pois), b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM v)
+  SELECT least(19, floor((x - lx) / (hx - lx) * 20))::INT AS bin_x, least(19, floor((y - ly) / (hy - ly) * 20))::INT AS bin_y, count(*) AS n FROM v, b GROUP BY 1, 2""")
+def heat_map_data(spark, sf):
+    """SNK10: what a heat map draws."""
+    return figures.cells(tables.pois(spark, sf), "x", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,12 +129,16 @@ def self_bleu_sample(spark, sf):
 QUERIES["self_bleu_sample"] = (self_bleu_sample, None)
 
 
+@query(f"""WITH RECURSIVE {_TURNS}, lcs(key, i, hyp, ref, best) AS (SELECT key, 0, hyp, ref, list_transform(ref, lambda t: 0) FROM pairs
+  UNION ALL SELECT key, i + 1, hyp, ref, list_transform(range(1, len(ref) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m:
+    greatest(best[m], CASE WHEN ref[m] = hyp[i + 1] THEN 1 + CASE WHEN m > 1 THEN best[m - 1] ELSE 0 END ELSE 0 END)))) FROM lcs WHERE i < len(hyp)),
+  m AS (SELECT key, len(hyp) AS c, len(ref) AS r, coalesce(best[-1], 0)::DOUBLE AS l FROM lcs WHERE i = len(hyp)),
+  p AS (SELECT key, CASE WHEN c > 0 THEN l / c ELSE 0.0 END AS precision, CASE WHEN r > 0 THEN l / r ELSE 0.0 END AS recall FROM m)
+  SELECT key, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1 FROM p""")
 def rouge_l(spark, sf):
-    """X27, X28; longest common subsequences are tested against brute force."""
-    return textmetrics.rouge_l(_pairs(spark, sf))
-
-
-QUERIES["rouge_l"] = (rouge_l, None)
+    """By longest common subsequences."""
+    found = textmetrics.rouge_l(_pairs(spark, sf))
+    return found.select("key", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query("""SELECT name, regexp_matches(name, '[一-鿿]') AS has_cjk FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN n_name || '国' ELSE n_name END AS name FROM nation)""")
@@ -209,13 +215,22 @@ def descriptions(spark, sf):
     return _described(spark, sf).select("landmark_id", "target_id", "variant", "family", "dir_text", "dist_text", "description_raw")
 
 
+def _hashed(variant: Column) -> textgen.Roll:
+    return lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", "landmark_id", "target_id", variant, F.lit(salt))), 1, 6), 16, 10).cast("double") / float(1 << 24)
+
+
+_HASHED = re.sub(
+    r"\(\(\(landmark_id \* 7919 \+ target_id \* 104729 \+ variant \* 31 \+ (\d+)\) % 9973\) / 9973e0\)",
+    lambda m: f"(('0x' || substr(md5(landmark_id || '-' || target_id || '-' || variant || '-{int(m[1]) // _SALT}'), 1, 6))::BIGINT / {1 << 24}e0)", _DESCRIBED,
+)
+
+
+@query(f"{_HASHED} SELECT landmark_id, target_id, variant, description_raw FROM described")
 def descriptions_hash_choice(spark, sf):
-    """The same with the seeded hash; SQL has no such hash."""
+    """The same with rolls by a hash, one that SQL has."""
     rows = rel.with_attributes(_kept(spark, sf), tables.pois(spark, sf))
-    return textgen.descriptions(rows, 3).select("landmark_id", "target_id", "variant", "description_raw")
-
+    return textgen.descriptions(rows, 2, roll_of=_hashed).select("landmark_id", "target_id", "variant", "description_raw")
 
-QUERIES["descriptions_hash_choice"] = (descriptions_hash_choice, None)
 
 _READ_DIR = "CASE " + " ".join(f"WHEN contains(description_raw, '{w}') THEN '{c}'" for w, c in textgen.DIRECTION_WORDS) + " END"
 _READ_TOPO = "CASE " + " ".join(f"WHEN contains(description_raw, '{w}') THEN '{c}'" for w, c in textgen.TOPOLOGY_WORDS) + " END"

@@ -27,11 +27,11 @@ def parquet(spark: SparkSession, path: str, lineage: bool = False) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_name")) if lineage else df
 
 
-def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
-    """A workbook by pandas, on the driver; needs a reader library for it, so prefer CSV or Parquet."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str))
+def shares(spark: SparkSession, path: str) -> DataFrame:
+    """``(dimension, name, share)`` of a JSON object of distributions, ``{dimension: {name: share}}``, as kept offline."""
+    text = spark.read.text(path, wholetext=True)
+    held = text.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("dimension", "of"))
+    return held.select("dimension", F.explode("of").alias("name", "share"))
 
 
 def json_places(df: DataFrame, column: str) -> DataFrame:
@@ -73,21 +73,21 @@ class _Code(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, fetch: Fetch, codes: Sequence[str]) -> None:
-        self.fetch, self.codes = fetch, codes
+    def __init__(self, fetch: Fetch, codes: Sequence[str], wait: float = 1.0) -> None:
+        self.fetch, self.codes, self.wait = fetch, codes, wait
 
     def partitions(self) -> list[InputPartition]:
         return [_Code(c) for c in self.codes]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row, error in pages(self.fetch, partition.value):
+        for row, error in pages(self.fetch, partition.value, wait=lambda s: time.sleep(s * self.wait)):
             yield partition.value, row, error
 
 
-def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged") -> type[DataSource]:
+def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged", wait: float = 1.0) -> type[DataSource]:
     """A data source class that reads each code's pages in a task of its own: register it, then
     ``spark.read.format(name).load()``. ``fetch(code, page)`` gives rows as JSON text. A code of which pages are
-    missing has a row with ``error``."""
+    missing has a row with ``error``. ``wait`` scales the pauses after failures."""
     held = sorted({str(c).zfill(6) for c in codes})
 
     class Paged(DataSource):
@@ -99,7 +99,7 @@ def paged_source(fetch: Fetch, codes: Sequence[str], name: str = "waymark_paged"
             return "code string, json string, error string"
 
         def reader(self, schema: object) -> DataSourceReader:
-            return PagedReader(fetch, held)
+            return PagedReader(fetch, held, wait)
 
     return Paged
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, header=header)
+    """Delimited text that ``readers.csv`` reads back as it was: quotes doubled, white space kept."""
+    df.write.mode("overwrite").csv(path, header=header, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def csv_file(df: DataFrame, path: str) -> None:
