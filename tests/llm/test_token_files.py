@@ -75,3 +75,9 @@ def test_pieces_are_encoded_as_whole_texts():
     found = token_files.Encoder(tokenizer_path("byte_bpe_50k.json"), most_kept=3000).encode([t.encode() for t in texts])
     for text, ids in zip(texts, found, strict=True):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_files_that_pieces_do_not_fit_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        token_files.Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert token_files.Encoder(tokenizer_path("byte_bpe_50k.json")).vocab_size == 50_257

@@ -117,3 +117,12 @@ def test_odd_rows(spark):
     got = unigram.decoded(unigram.encoded(docs)).collect()
     assert sorted((str(r.id), r.decoded) for r in got) == sorted((str(i), (t or "").replace("▁", " ")) for i, t in rows)
     assert unigram.decoded(unigram.encoded(docs.limit(0))).count() == 0
+
+
+def test_columns_of_the_new_names_give_way(spark):
+    docs = spark.createDataFrame([(1, "some words", "x", "y", 2), (2, None, "x", "y", 2)], "doc_id long, text string, TOKEN_IDS string, decoded string, ids_crc32 int")
+    got = unigram.tokenised(docs)
+    assert got.columns == ["doc_id", "text", "decoded", "ids_crc32", "token_ids"]
+    assert {r.doc_id: (r.text, bool(r.token_ids)) for r in got.collect()} == {1: ("some words", True), 2: (None, False)}
+    back = unigram.decoded(got, "token_ids")
+    assert back.columns == ["doc_id", "text", "token_ids", "decoded", "ids_crc32"] and {r.decoded for r in back.collect()} == {"some words", ""}

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import id_and_text, numbered, staged, text_slices
+from waymark.llm.shared import discard, id_and_text, numbered, staged, text_slices
 
 WINDOW = 13
 ITEM_BLOCK_BYTES = 2 << 20
@@ -292,6 +292,8 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     if id_col not in docs.columns:
         raise ValueError(f"no column {id_col}")
     held, row = numbered(docs, "rows")
-    found = search(staged(build_index(held, row, text_col), "postings"), items, **how)
+    index = staged(build_index(held, row, text_col), "postings")
+    found = search(index, items, **how)
     bad = staged(report(found).filter("contaminated").select(F.col("id").alias(row)), "contaminated")
+    discard(index)
     return held.join(bad, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -21,13 +21,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class SpanHashes:
     """64-bit hashes of spans of ``data``, a uint8 array; zero bytes at a span's end don't count."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data.astype(np.uint64) * up[: len(data)], out=self.sums[1:])
+    def __init__(self, data: np.ndarray, block: int = 1 << 20) -> None:
+        self.data, self.block = data, block
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        """Hashes of spans in ascending order of their starts, some ``block`` bytes at a time: a hash tells nothing of
+        where its span stands, so that what is held grows with the longest span and not with the data."""
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            first = int(starts[at])
+            upto = int(np.searchsorted(starts, first + self.block, "right"))
+            out[at:upto] = self._of(first, starts[at:upto] - first, ends[at:upto] - first)
+            at = upto
+        return out
+
+    def _of(self, first: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        data = self.data[first : first + int(ends.max())]
+        up, down = _powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data.astype(np.uint64) * up[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(32))

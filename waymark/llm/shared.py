@@ -65,9 +65,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
+    """Deletes staged tables that nothing reads any more; other tables stay."""
     for df in tables:
-        delete(df.sparkSession, df.staged_at)
+        if path := getattr(df, "staged_at", None):
+            delete(df.sparkSession, path)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -98,7 +99,8 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns an operator reads, under fixed names, so that clashing names of other columns don't matter."""
+    """The two columns an operator reads, under fixed names, so that clashing names of other columns don't matter.
+    Ids are whole numbers, or text of whole numbers; other text raises."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import connected_components
-from waymark.llm.shared import id_and_text, staged, text_slices
+from waymark.llm.shared import discard, id_and_text, staged, text_slices
 
 SEED = 42
 BITS = 2
@@ -88,6 +88,7 @@ def with_components(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     links = staged(linked(reps.select("fp", F.col("fp").alias("rep")), pairwise), "links")
     groups = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     named = staged(reps.join(groups, "fp", "left").select("fp", "least", F.coalesce("group", "fp").alias("group")), "groups")
+    discard(reps, links)
     least = named.groupBy("group").agg(F.min("least").alias("component"))
     return prints.join(named.join(least, "group").select("fp", "component"), "fp").select("id", "fp", "component")
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shared import staged
+from waymark.llm.shared import discard, staged
 
 RULES = (
     ("block", "com", "/en/"),
@@ -97,13 +97,15 @@ def propagated(edges: DataFrame, seeded: DataFrame, rounds: int = ROUNDS, dampin
     base = seeded.join(F.broadcast(totals), "kind")  # two rows
     base = staged(base.select("kind", "host", F.expr(f"weight * ({MASS} div total)").alias("rank")), "base-ranks")
     restart = base.select("kind", "host", F.expr(f"rank div 100 * {100 - damping}").alias("rank"))
-    now = base
+    now, cut = base, []
     for k in range(1, rounds + 1):
         sent = ways.join(now.withColumnRenamed("host", "src"), ["kind", "src"])
         sent = sent.select("kind", F.col("dst").alias("host"), F.expr(f"rank div 100 * {damping} div degree").alias("rank"))
         now = restart.union(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % STEP == 0 or k == rounds:  # the plan is cut every few steps
             now = staged(now, "ranks")
+            discard(*cut)
+            cut = [now]
     return now
 
 
@@ -129,6 +131,7 @@ def judged(
     ranks = propagated(edges, seeds(ruled), rounds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0)).alias(kind)
     hosts = staged(ranks.groupBy("host").agg(of("trust"), of("distrust")), "host-ranks")
+    discard(edges)
     out = ruled.join(hosts, "host", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trust", "distrust")})
     method = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
     return out.select("id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), "trust", "distrust")
