@@ -25,6 +25,8 @@ BUCKET_BITS = 15
 DIMENSIONS = 48
 NONZERO = 6
 POOLINGS = 3
+PART = 4096
+SLICE_BYTES = 1 << 18
 OFFSETS = (-2, -1, 1, 2)
 COMMON = 1e-3
 SAMPLE_ROWS = 12_000
@@ -92,7 +94,7 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"v{k}" for k in range(DIMENSIONS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, sums = context_sums(texts for _, texts in text_slices(batches))
+        seen, sums = context_sums(texts for _, texts in text_slices(batches, SLICE_BYTES))
         met = np.flatnonzero(seen)
         columns = [pa.array(met.astype(np.int32)), pa.array(seen[met]), *(pa.array(sums[met, k].astype(np.int64)) for k in range(DIMENSIONS))]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "seen", *names])
@@ -110,22 +112,24 @@ def word_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def pooled(texts: list[bytes], vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Three poolings of each text's word vectors, by dimension: their weighted mean, their standard deviation from it,
-    and the mean product of successive vectors; zeros without tokens."""
+    and the mean product of successive vectors; zeros without tokens. A text goes through in parts that stay in the
+    cache, so that its pooling depends on nothing beside it."""
     words, counts = tokens(texts)
     out = np.zeros((len(texts), POOLINGS * DIMENSIONS), np.float32)
-    some = np.flatnonzero(counts)
-    if len(some):
-        at = (np.cumsum(counts) - counts)[some]
-        held, weight = vectors[words], weights[words][:, None]
-        total = np.add.reduceat(weight, at, axis=0, dtype=np.float64)
-        mean = np.add.reduceat(held * weight, at, axis=0, dtype=np.float64) / total
-        square = np.add.reduceat(held * held * weight, at, axis=0, dtype=np.float64) / total
-        product = np.zeros_like(held)
-        np.multiply(held[1:], held[:-1], out=product[1:])
-        product[at] = 0  # a text's first token follows none
-        out[some, :DIMENSIONS] = mean
-        out[some, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.maximum(square - mean * mean, 0))
-        out[some, 2 * DIMENSIONS :] = np.add.reduceat(product, at, axis=0, dtype=np.float64) / np.maximum(counts[some] - 1, 1)[:, None]
+    ends = np.cumsum(counts)
+    for k, n in enumerate(counts.tolist()):
+        if not n:
+            continue
+        sums, total, begin = np.zeros((POOLINGS, DIMENSIONS)), 0.0, int(ends[k]) - n
+        for at in range(begin, begin + n, PART):
+            own = words[max(begin, at - 1) : min(at + PART, begin + n)]  # with the token before, which the first one follows
+            held, weight, after = vectors[own], weights[own], int(at > begin)
+            total += float(weight[after:].sum())
+            sums[0] += weight[after:] @ held[after:]
+            sums[1] += weight[after:] @ np.square(held[after:])
+            sums[2] += (held[1:] * held[:-1]).sum(axis=0)
+        mean = sums[0] / total
+        out[k] = np.concatenate([mean, np.sqrt(np.maximum(sums[1] / total - mean * mean, 0)), sums[2] / max(n - 1, 1)])
     return out
 
 
