@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.hashing import SpanHashes, spans, text_ends
-from waymark.llm.shared import id_and_text, sampled, staged, text_slices
+from waymark.llm.shared import discard, id_and_text, sampled, staged, text_slices
 
 BUCKET_BITS = 18
 BEGINNINGS = (4, 5, 6)
@@ -31,6 +31,7 @@ ROUNDS = 60
 DECAY = 2e-5
 UNIT = 1 << 20
 THRESHOLD = 0.5
+SLICE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,9 +39,9 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every feature that a text has, once each and in order: its words and word
-    beginnings. A beginning that is a word elsewhere is the same feature."""
+def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of all words and word beginnings, repeats included. A beginning that is a word elsewhere
+    has that word's bucket."""
     buf = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
     starts, ends = spans(_WORD[buf])
     doc = np.searchsorted(text_ends(texts), starts, "right")
@@ -50,8 +51,13 @@ def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         longer = ends - starts > k
         docs.append(doc[longer])
         found.append(hashes.of(starts[longer], starts[longer] + k))
-    buckets = (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    flat = np.unique(np.concatenate(docs) << BUCKET_BITS | buckets)
+    return np.concatenate(docs), (np.concatenate(found) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every feature that a text has, once each and in order."""
+    docs, buckets = occurrences(texts)
+    flat = np.unique(docs << BUCKET_BITS | buckets)
     return flat >> BUCKET_BITS, flat & ((1 << BUCKET_BITS) - 1)
 
 
@@ -65,7 +71,7 @@ class ToxicityModel:
 
     def present(self, texts: list[bytes]) -> np.ndarray:
         """Text number and slot of every chosen feature that a text has, once each."""
-        docs, buckets = features_of(texts)
+        docs, buckets = occurrences(texts)
         slots = self.slots[buckets]
         hit = slots >= 0
         return np.unique(docs[hit] * len(self.weights) + slots[hit])
@@ -226,6 +232,7 @@ def fit(
     trainer = Trainer(have[:, :features] / np.maximum(have[:, -1:], 1), prior)
     for _ in range(rounds):
         trainer.move(*summed(trainer.weights, trainer.offsets), rounds)
+    discard(counts, marks)
     return ToxicityModel(slots, trainer.weights, trainer.offsets)
 
 
@@ -233,7 +240,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.
     """Slices of texts with the flags of the third column."""
     for batch in batches:
         at = 0
-        for _, texts in text_slices([batch]):
+        for _, texts in text_slices([batch], SLICE_BYTES):
             yield texts, np.array(batch.column(2).slice(at, len(texts)), dtype=bool)
             at += len(texts)
 
@@ -245,7 +252,7 @@ def scored(
     the base score; a score equal to ``threshold`` is predicted 1; repeated rows are scored alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
+        for ids, texts in text_slices(batches, SLICE_BYTES):
             score = model.probabilities(texts)
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"]
