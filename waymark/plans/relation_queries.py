@@ -94,7 +94,7 @@ def located_on_roads(spark, sf):
 @query(f"WITH {base.POIS}, {base.ROADS}, {base.CANDIDATES}, {base.BENT} SELECT * FROM bent_crossed")
 def crossed_roads(spark, sf):
     """The bent roads that the straight line of a close pair crosses."""
-    pairs = rel.candidates(tables.pois(spark, sf)).filter("distance <= 30").select("landmark_id", "target_id", "lx", "ly", "rx", "ry")
+    pairs = rel.candidates(tables.pois(spark, sf), 30.0).select("landmark_id", "target_id", "lx", "ly", "rx", "ry")
     places = tables.pois(spark, sf)
     near = lines_near(places, tables.bent_roads(spark, sf), 30.0).select(F.col("id").alias("landmark_id"), "road_id")  # a crossing is no farther than the pair
     met = pairs.join(near, "landmark_id").join(tables.bent_roads(spark, sf).select("road_id", lines.segments(F.col("points")).alias("segs")), "road_id")
