@@ -1,8 +1,11 @@
 """Counts and topology in blocks of packed places against plain loops, and places that lie on a road."""
 
+import hashlib
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +117,35 @@ def test_nearest_pairs_choose_the_same_relations(spark, small_blocks):
     want = relations.selected(relations.classed(rows, ways, corners), order)
     key = lambda df: sorted((r.landmark_id, r.target_id, r.distance, r.topology) for r in df.collect())
     assert key(kept) == key(want) and len(key(want)) > 100
+
+
+def test_rank_by_md5_is_that_of_the_text():
+    rng = random.Random(3)
+    ids = [[0, 7, None, -12, 10**12, *(rng.randrange(10**6) for _ in range(40))], [None, 5, 10**15, *(rng.randrange(10**7) for _ in range(70))]]
+    for more in ([], [9 * 10**18]):
+        left, right = [*ids[0], *more], ids[1]
+        li, ti = (x.ravel() for x in np.meshgrid(np.arange(len(left)), np.arange(len(right)), indexing="ij"))
+        got = tiles.by_md5(42)(pa.array(left, pa.int64()), pa.array(right, pa.int64()))(li, ti)
+        text = lambda i, j: "-".join(str(v) for v in (left[i], right[j], 42) if v is not None)  # noqa: B023, E731
+        assert got.tolist() == [int(hashlib.md5(text(i, j).encode()).hexdigest()[:8], 16) for i, j in zip(li, ti, strict=True)]
+    long = tiles.by_md5(10**20)(pa.array([10**18]), pa.array([10**18]))(np.array([0]), np.array([0]))  # more than a block
+    assert long.tolist() == [int(hashlib.md5(f"{10**18}-{10**18}-{10**20}".encode()).hexdigest()[:8], 16)]
+
+
+def test_pairs_first_by_md5_choose_the_same_relations(spark, small_blocks):
+    rows = spark.createDataFrame(places(random.Random(6), 90), PLACES)
+    ways = spark.createDataFrame([(7, "up", 20.0, [(120.0, -200.0), (120.0, 3400.0)])], ROADS)
+    corners = spark.createDataFrame([("c", 120.0, 0.0)], "name string, x double, y double")
+    order = [F.md5(F.concat_ws("-", "landmark_id", "target_id", F.lit(42))), F.col("target_id")]
+    kept = relations.relations(rows, ways, corners, order=order, rank=tiles.by_md5(42))
+    want = relations.selected(relations.classed(rows, ways, corners), order)
+    key = lambda df: sorted((r.landmark_id, r.target_id, r.distance, r.topology) for r in df.collect())
+    assert key(kept) == key(want) and len(key(want)) > 100
+
+
+def test_kept_relations_are_computed_once(spark):
+    rows = spark.createDataFrame(places(random.Random(7), 20), PLACES)
+    ways = spark.createDataFrame([(7, "up", 20.0, [(120.0, -200.0), (120.0, 3400.0)])], ROADS)
+    corners = spark.createDataFrame([("c", 120.0, 0.0)], "name string, x double, y double")
+    plan = relations.relations(rows, ways, corners, order=["distance", "target_id"])._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan

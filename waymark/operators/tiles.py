@@ -7,7 +7,7 @@ many tasks; each is measured by numpy in blocks of ``BLOCK`` pairs, and only res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,59 +191,168 @@ def _judge(a: _Places, b: _Places, li: np.ndarray, ti: np.ndarray, d: np.ndarray
     return topology, road
 
 
-def _nearest(li: np.ndarray, topology: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
-    """The pairs that are among the ``most`` nearest of their landmark, topology and band, with all at the last one's distance."""
+def _first(li: np.ndarray, topology: np.ndarray, d: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+    """The pairs that are among the ``most`` first by rank of their landmark, topology and band, with all of the last one's rank."""
     bands = [end for _, end in geo.DIST_BANDS]
     level = np.searchsorted(bands[:-1], d, side="right")
     key = (li * len(CLASSES) + topology) * len(bands) + level
-    order = np.lexsort((d, key))
+    order = np.lexsort((rank, key))
     sorted_key = key[order]
     starts = np.flatnonzero(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
     sizes = np.diff(np.r_[starts, len(order)])
-    last = d[order[starts + np.minimum(sizes, most) - 1]]
-    return order[d[order] <= np.repeat(last, sizes)]
-
-
-def judged(places: DataFrame, roads: DataFrame, radius: float, carry: list[str], nearest: int | None = None) -> DataFrame:
+    last = rank[order[starts + np.minimum(sizes, most) - 1]]
+    return order[rank[order] <= np.repeat(last, sizes)]
+
+
+def _first_beyond(far: np.ndarray, near: np.ndarray, rank: np.ndarray, corners: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs farther than ``ROAD_PAIR``, as row and column, by a threshold for each landmark: no road tells
+    their topology, and the first ``corners`` columns are the targets at a junction. Pairs beyond the last band are in none."""
+    out, start = [], 0.0
+    for k, (_, end) in enumerate(geo.DIST_BANDS):
+        if end > ROAD_PAIR:
+            held = near & (far > ROAD_PAIR) & (far >= start) & (far <= end if k == len(geo.DIST_BANDS) - 1 else far < end)
+            for at, upto in ((0, corners), (corners, far.shape[1])):
+                part, some = rank[:, at:upto], held[:, at:upto]
+                if upto - at > most:
+                    worst = np.inf if part.dtype.kind == "f" else np.iinfo(part.dtype).max
+                    some = some & (part <= np.partition(np.where(some, part, worst), most - 1, axis=1)[:, most - 1 : most])
+                i, j = np.nonzero(some)
+                out.append((i, j + at))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(np.sin(k + 1)) * 2**32) for k in range(64)]
+_CHUNK = 1 << 14  # pairs at once, so that the state stays in the cache
+
+
+def _md5(words: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The first four bytes of the MD5 digests of ``n`` messages of one block each, whose words of zeros are left out."""
+    a, b, c, d = (np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    start, f, t = a.copy(), np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for k in range(64):
+        turn = k // 16
+        if turn == 0:
+            w = k
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif turn == 1:
+            w = (5 * k + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif turn == 2:
+            w = (3 * k + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            w = (7 * k) % 16
+            np.bitwise_not(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += np.uint32(_SINES[k])
+        if w in words:
+            f += words[w]
+        by = _TURNS[turn][k % 4]
+        np.right_shift(f, np.uint32(32 - by), out=t)
+        f <<= np.uint32(by)
+        f |= t
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return (start + a).byteswap()
+
+
+def by_md5(seed: int) -> Callable:
+    """A rank that rises as ``md5(concat_ws('-', landmark_id, target_id, seed))`` does: the first 32 bits of it."""
+
+    def of(landmarks: pa.Array, targets: pa.Array) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        heads = [b"" if v is None else f"{v}-".encode() for v in landmarks.to_pylist()]
+        tails = [f"{seed}".encode() if v is None else f"{v}-{seed}".encode() for v in targets.to_pylist()]
+        if max(map(len, heads)) + max(map(len, tails)) > 55:  # more than a block
+            from hashlib import md5
+
+            return lambda li, ti: np.array([int.from_bytes(md5(heads[i] + tails[j]).digest()[:4]) for i, j in zip(li, ti, strict=True)], np.uint32)
+        sizes = sorted({len(h) for h in heads})
+        place = np.array([sizes.index(len(h)) for h in heads]) * len(tails)
+        left = np.frombuffer(b"".join(h.ljust(64, b"\0") for h in heads), "<u4").reshape(-1, 16).T.copy()
+        ends = b"".join((b"\0" * n + t + b"\x80").ljust(56, b"\0") + ((n + len(t)) * 8).to_bytes(8, "little") for n in sizes for t in tails)
+        right = np.frombuffer(ends, "<u4").reshape(-1, 16).T.copy()
+        in_left, in_right = left.any(axis=1), right.any(axis=1)
+
+        def ranks(li: np.ndarray, ti: np.ndarray) -> np.ndarray:
+            out = np.empty(len(li), np.uint32)
+            for at in range(0, len(li), _CHUNK):
+                i, j = li[at : at + _CHUNK], ti[at : at + _CHUNK]
+                j = j + place[i]
+                words = {w: (left[w][i] | right[w][j]) if in_left[w] and in_right[w] else left[w][i] if in_left[w] else right[w][j] for w in range(16) if in_left[w] or in_right[w]}
+                out[at : at + _CHUNK] = _md5(words, len(i))
+            return out
+
+        return ranks
+
+    return of
+
+
+def judged(places: DataFrame, roads: DataFrame, radius: float, carry: list[str], nearest: int | None = None, rank: Callable | None = None) -> DataFrame:
     """Pairs of a landmark and another target within ``radius`` with ``distance``, ``topology`` and ``road_name``, and the
     landmark's columns ``carry``. ``places`` have ``junction_t``, the name of a junction near them.
 
     The first that fits of coincident, abutting without a road between, at a junction, opposite across the nearest road,
     same side along it, and isolated. A pair's road is the one of least summed distance among those near either place
-    (the smaller id at a tie). With ``nearest``, of each landmark's pairs of a topology and band (of which the last ends
-    at 1000 m) at least so many nearest come, and all others at most where ties or blocks leave them in.
+    (the smaller id at a tie). With ``nearest``, of each landmark's pairs of a topology and band at least so many nearest
+    come, and all others at most where ties or blocks leave them in; pairs in no band need not come. ``rank``, as ``by_md5``
+    gives one, puts another order in the place of the distance: it takes the ids of both sides, and gives a function from
+    indexes of pairs to numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, other, ways in _rows(batches):
+            corner = other.field("junction_t").is_valid().to_numpy(zero_copy_only=False)
+            other, corners = other.take(pa.array(np.argsort(~corner, kind="stable"))), int(corner.sum())
+            corner = np.arange(len(corner)) < corners
             a, b, net = _Places(one), _Places(other), _Roads(ways)
-            same, junction = _same(a, b), other.field("junction_t")
-            corner = junction.is_valid().to_numpy(zero_copy_only=False)
+            same, ranks = _same(a, b), None if rank is None else rank(a.ids, b.ids)
             of_a, of_b = net.located(a), net.located(b)
-            names = pa.concat_arrays([pa.array(net.names, pa.string()), junction.cast(pa.string())])
-            step = max(1, BLOCK // len(b.x))
-            for at in range(0, len(a.x), step):
-                far = _distances(a, b, slice(at, at + step))
-                near = far <= radius if same is None else (far <= radius) & ~same[at : at + step]
-                li, ti = np.nonzero(near)
-                if not len(li):
-                    continue
-                d = far[near]
-                li = li + at
-                topology, road = _judge(a, b, li, ti, d, corner, net, of_a, of_b)
-                if nearest is not None:
-                    kept = _nearest(li, topology, d, nearest)
-                    li, ti, d, topology, road = li[kept], ti[kept], d[kept], topology[kept], road[kept]
-                name = np.where(topology == INTERSECTION, len(net.names) + ti, road)
+            names = pa.concat_arrays([pa.array(net.names, pa.string()), other.field("junction_t").cast(pa.string())])
+
+            def row(li: np.ndarray, ti: np.ndarray, d: np.ndarray, topology: np.ndarray, road: np.ndarray) -> pa.RecordBatch:
+                name = np.where(topology == INTERSECTION, len(net.names) + ti, road)  # noqa: B023
                 left, right = pa.array(li), pa.array(ti)
-                yield pa.RecordBatch.from_arrays(
+                return pa.RecordBatch.from_arrays(
                     [
-                        a.ids.take(left), b.ids.take(right), pa.array(a.x[li]), pa.array(a.y[li]), pa.array(b.x[ti]), pa.array(b.y[ti]), pa.array(d),
-                        pa.array(CLASSES).take(pa.array(topology)), names.take(pa.array(name, mask=name < 0)), *(one.field(c).take(left) for c in carry),
+                        a.ids.take(left), b.ids.take(right), pa.array(a.x[li]), pa.array(a.y[li]), pa.array(b.x[ti]), pa.array(b.y[ti]), pa.array(d),  # noqa: B023
+                        pa.array(CLASSES).take(pa.array(topology)), names.take(pa.array(name, mask=name < 0)), *(one.field(c).take(left) for c in carry),  # noqa: B023
                     ],
                     names=["landmark_id", "target_id", "lx", "ly", "rx", "ry", "distance", "topology", "road_name", *carry],
                 )
 
+            step = max(1, BLOCK // len(b.x))
+            for at in range(0, len(a.x), step):
+                far = _distances(a, b, slice(at, at + step))
+                near = far <= radius if same is None else (far <= radius) & ~same[at : at + step]
+                if nearest is None:
+                    li, ti = np.nonzero(near)
+                    d = far[near]
+                    yield row(li + at, ti, d, *_judge(a, b, li + at, ti, d, corner, net, of_a, of_b))
+                    continue
+                by = far
+                if ranks is not None:
+                    li, ti = np.nonzero(near)
+                    by = np.zeros(far.shape, np.uint32)
+                    by[li, ti] = ranks(li + at, ti)
+                li, ti = np.nonzero(near & (far <= ROAD_PAIR))
+                if len(li):
+                    d = far[li, ti]
+                    topology, road = _judge(a, b, li + at, ti, d, corner, net, of_a, of_b)
+                    kept = _first(li, topology, d, by[li, ti], nearest)
+                    yield row(li[kept] + at, ti[kept], d[kept], topology[kept], road[kept])
+                li, ti = _first_beyond(far, near, by, corners, nearest)
+                if len(li):
+                    yield row(li + at, ti, far[li, ti], np.where(corner[ti], INTERSECTION, ISOLATED).astype(np.int8), np.full(len(li), -1))
+
     kind = lambda c: places.schema[c].dataType.simpleString()
     schema = f"landmark_id {kind('id')}, target_id {kind('id')}, lx double, ly double, rx double, ry double, distance double, topology string, road_name string"
     return _units(places, radius, carry, ["junction_t"], roads).mapInArrow(run, ", ".join([schema, *(f"{c} {kind(c)}" for c in carry)]))
