@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import lines
+from waymark.functions import geo, lines
 from waymark.operators import relations, tiles
 
 PLACES = "id long, x double, y double, priority int"
@@ -149,3 +149,21 @@ def test_kept_relations_are_computed_once(spark):
     corners = spark.createDataFrame([("c", 120.0, 0.0)], "name string, x double, y double")
     plan = relations.relations(rows, ways, corners, order=["distance", "target_id"])._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Window" not in plan
+
+
+def test_measured_pairs_against_all_pairs(spark, small_blocks):
+    rows = places(random.Random(9), 70)
+    df = spark.createDataFrame(rows, PLACES)
+    for radius in (60.0, 300.0):
+        got = tiles.measured(df, radius).collect()
+        want = {(i, j, d, u - x, v - y) for i, j, x, y, u, v, d in pairs(rows, radius)}
+        turn = lambda dx, dy: None if dx == dy == 0 else round(math.degrees(math.atan2(dx, dy)) % 360, 9)
+        far = lambda az: None if az is None else round(az, 9)
+        assert sorted(((r.landmark_id, r.target_id, r.distance, far(r.azimuth)) for r in got), key=repr) == sorted(((i, j, d, turn(p, q)) for i, j, d, p, q in want), key=repr)
+        assert any(r.azimuth is None for r in got)
+
+
+def test_rounded_measures(spark):
+    rows = [(v,) for v in (0.0, 0.5e-6, 1.4e-6, 299.9999995, 359.9999999, 123.4567891, 45.0)]
+    got = spark.createDataFrame([*rows, (None,)], "v double").select(geo.rounded(F.col("v"))).collect()
+    assert [r[0] for r in got] == [0.0, 1e-6, 1e-6, 300.0, 360.0, 123.456789, 45.0, None]

@@ -112,6 +112,32 @@ def counted(places: DataFrame, radius: float) -> DataFrame:
     return _units(places, radius, [], []).mapInArrow(run, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def measured(places: DataFrame, radius: float) -> DataFrame:
+    """``(landmark_id, target_id, distance, azimuth)`` of each landmark and every target of another id within ``radius``;
+    the azimuth as by ``geo.azimuth``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, other in _rows(batches):
+            a, b = _Places(one), _Places(other)
+            same, step = _same(a, b), max(1, BLOCK // len(b.x))
+            for at in range(0, len(a.x), step):
+                far = _distances(a, b, slice(at, at + step))
+                near = far <= radius if same is None else (far <= radius) & ~same[at : at + step]
+                li, ti = np.nonzero(near)
+                d = far[near]
+                li += at
+                dx, dy = b.x[ti] - a.x[li], b.y[ti] - a.y[li]
+                az = np.degrees(np.arctan2(dx, dy))
+                az[az < 0] += 360
+                az[az >= 360] = 0
+                nowhere = (dx == 0) & (dy == 0)
+                columns = [a.ids.take(pa.array(li)), b.ids.take(pa.array(ti)), pa.array(d), pa.array(az, mask=nowhere)]
+                yield pa.RecordBatch.from_arrays(columns, names=["landmark_id", "target_id", "distance", "azimuth"])
+
+    kind = places.schema["id"].dataType.simpleString()
+    return _units(places, radius, [], []).mapInArrow(run, f"landmark_id {kind}, target_id {kind}, distance double, azimuth double")
+
+
 class _Roads:
     """The roads of a tile in the order of their ids, with the distance and place along each of some places."""
 

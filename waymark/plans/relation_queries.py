@@ -44,8 +44,9 @@ def relation_counts(spark, sf):
 @query(f"{base.PAIRS} SELECT landmark_id, target_id, round(distance, 6) AS distance, round(azimuth, 6) AS azimuth, dist_level, direction_8 FROM candidates WHERE distance <= 300")
 def distance_join_pairs(spark, sf):
     """J1 with G1-G4 at 300 m."""
-    pairs = rel.candidates(tables.pois(spark, sf), 300.0)
-    return pairs.select("landmark_id", "target_id", _r("distance"), _r("azimuth"), "dist_level", "direction_8")
+    pairs = tiles.measured(tables.pois(spark, sf), 300.0)
+    level, direction = geo.dist_level(F.col("distance")).alias("dist_level"), geo.direction_8(F.col("azimuth")).alias("direction_8")
+    return pairs.select("landmark_id", "target_id", geo.rounded(F.col("distance")).alias("distance"), geo.rounded(F.col("azimuth")).alias("azimuth"), level, direction)
 
 
 @query(f"""WITH {base.POIS} SELECT l.id AS a, t.id AS b FROM pois l JOIN pois t ON l.id < t.id
