@@ -167,3 +167,34 @@ def test_rounded_measures(spark):
     rows = [(v,) for v in (0.0, 0.5e-6, 1.4e-6, 299.9999995, 359.9999999, 123.4567891, 45.0)]
     got = spark.createDataFrame([*rows, (None,)], "v double").select(geo.rounded(F.col("v"))).collect()
     assert [r[0] for r in got] == [0.0, 1e-6, 1e-6, 300.0, 360.0, 123.456789, 45.0, None]
+
+
+@pytest.mark.parametrize("by_hash", [False, True])
+def test_streams_of_small_blocks_choose_the_same_relations(spark, small_blocks, monkeypatch, by_hash):
+    for name, value in (("PACK", 3), ("START", 2), ("TARGETS", 16), ("BLOCK", 40)):
+        monkeypatch.setattr(tiles, name, value)
+    rng = random.Random(12)
+    rows = places(rng, 60) + [(2000 + i, rng.randrange(-1200, 1600) / 1, rng.randrange(-1200, 1200) / 1, int(i % 10 == 0)) for i in range(250)]
+    rows += [(3000, 0.0, 0.0, 1), (3001, 500.0, 0.0, 0), (3002, 0.0, 1000.0, 0), (3003, 200.0, 0.0, 0), (3005, 400.0, -15.0, 1), (3006, 405.0, 17.0, 0)]
+    rows += [] if by_hash else [(4, 640.0, 0.0, 1)]  # an id of two landmarks, whose pairs have one hash
+    rows = spark.createDataFrame(rows, PLACES)
+    ways = [(7, "up", 20.0, [(120.0, -200.0), (120.0, 3400.0)]), (3, "across", 35.0, [(-200.0, 0.0), (700.0, 0.0)]), (9, None, None, [(300.0, -100.0), (340.0, 90.0), (300.0, 400.0)])]
+    ways = spark.createDataFrame(ways, ROADS)
+    corners = spark.createDataFrame([("c", 120.0, 0.0), ("b", 300.0, 0.0)], "name string, x double, y double")
+    order = [F.md5(F.concat_ws("-", "landmark_id", "target_id", F.lit(42))), F.col("target_id")] if by_hash else ["distance", "target_id"]
+    kept = relations.relations(rows, ways, corners, order=order, rank=tiles.by_md5(42) if by_hash else None)
+    want = relations.selected(relations.classed(rows, ways, corners), order)
+    key = lambda df: sorted((tuple(r) for r in df.select("landmark_id", "target_id", "distance", "topology", "road_name", "poi_count", "max_keep").collect()), key=repr)
+    assert key(kept) == key(want) and {r[3] for r in key(want)} == set(tiles.CLASSES)
+
+
+def test_nearest_pairs_of_all_tiles_leave_the_worker(spark):
+    """The nearest of every tile left it before: 62,932 pairs here."""
+    rng = random.Random(13)
+    rows = [(i, rng.uniform(0, 2500), rng.uniform(0, 2500), int(i % 100 == 0)) for i in range(20000)]
+    rows = spark.createDataFrame(rows, PLACES)
+    ways = spark.createDataFrame([(7, "up", 20.0, [(1200.0, -200.0), (1200.0, 3400.0)])], ROADS)
+    corners = spark.createDataFrame([("c", 1200.0, 300.0)], "name string, x double, y double")
+    pairs = relations.classed(rows, ways, corners, nearest=5).localCheckpoint()
+    kept = relations.selected(pairs, ["distance", "target_id"]).count()
+    assert kept > 2000 and pairs.count() < 3 * kept

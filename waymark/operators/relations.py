@@ -58,8 +58,13 @@ def labelled(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: fl
 def classed(pois: DataFrame, roads: DataFrame, junctions: DataFrame, radius: float = RADIUS, within: float | None = None, nearest: int | None = None, rank: Callable | None = None) -> DataFrame:
     """All candidate pairs, or those ``within`` a smaller distance, with counts, topology and road. With ``nearest``, the
     pairs that can be among so many nearest of their landmark, topology and band, or first by ``rank``, are enough."""
-    places = staged(with_corners(with_keep(pois, radius), junctions), "places")  # both sides of all pairs come from it
-    pairs = tiles.judged(places, roads, radius if within is None else within, ["poi_count", "max_keep"], nearest, rank)
+    if nearest is None or within is not None:
+        places = staged(with_corners(with_keep(pois, radius), junctions), "places")  # both sides of all pairs come from it
+        pairs = tiles.judged(places, roads, radius if within is None else within, ["poi_count", "max_keep"])
+    else:  # counts come with the pairs
+        pairs = tiles.first(staged(with_corners(pois, junctions), "places"), roads, radius, nearest, rank)
+        pairs = pairs.withColumn("poi_count", F.sum("n").over(Window.partitionBy("landmark_id"))).filter("topology is not null").drop("n")
+        pairs = pairs.withColumn("max_keep", max_keep(F.col("poi_count")))
     pairs = pairs.withColumn("azimuth", geo.azimuth(F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")))
     return pairs.withColumns({"dist_level": geo.dist_level(F.col("distance")), "direction_8": geo.direction_8(F.col("azimuth"))})
 
