@@ -72,3 +72,13 @@ def test_families_fall_back_by_parts_of_the_key(spark):
     rows = textgen.with_templates(spark.createDataFrame([(k,) for k in keys], "template_key string").coalesce(1), textgen.DEFAULT_TEMPLATES).collect()
     assert [r.family for r in rows] == ["SCENE-B_Opposite", "SCENE-B", "SCENE-B", *["FALLBACK_GENERIC"] * 3]
     assert [tuple(r.templates) for r in rows] == [textgen.DEFAULT_TEMPLATES[r.family] for r in rows]
+
+
+def test_texts_are_read_back_in_blocks(spark):
+    texts = ["东3千米", "7\x0b米 8km", "0012.50m", None, "", "正东与西北", f"{'9' * 400}米", "5 \t\n公里", "12345", "1.米", "北.5M"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string").coalesce(1)
+    rows = df.select(textgen.first_word(F.col("a"), textgen.DIRECTION_WORDS).alias("d"), textgen.parsed_distance(F.col("a")).alias("m"))
+    got = rows.collect()
+    assert [r.m for r in got] == [3000, 7, 12.5, None, None, None, float("inf"), 5000, None, None, 5]
+    assert [r.d for r in got] == ["E", None, None, None, None, "NW", None, None, None, None, "N"]
+    assert "regexp_extract" not in rows._jdf.queryExecution().optimizedPlan().toString() and "ArrowEvalPython" in rows._jdf.queryExecution().optimizedPlan().toString()

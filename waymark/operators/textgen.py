@@ -314,17 +314,37 @@ TOPOLOGY_WORDS = (("马路对面", "Opposite"), ("对面", "Opposite"), ("同侧
 
 
 def first_word(text: Column, words: Sequence[tuple[str, str]]) -> Column:
-    out = F.when(F.contains(text, F.lit(words[0][0])), words[0][1])
-    for word, code in words[1:]:
-        out = out.when(F.contains(text, F.lit(word)), code)
-    return out
+    """The code of the first of ``words`` that a text holds, by blocks: each word is sought where none before it was found."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        codes = np.full(len(texts), len(words))
+        rest = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, "|".join(re.escape(w) for w, _ in words)), False).to_numpy(zero_copy_only=False))
+        held = texts.take(pa.array(rest))
+        for k, (word, _) in enumerate(words):
+            found = pc.match_substring(held, word)
+            at = found.to_numpy(zero_copy_only=False)
+            codes[rest[at]] = k
+            rest, held = rest[~at], held.filter(pc.invert(found))
+        return pa.array([*(code for _, code in words), None], pa.string()).take(pa.array(codes))
+
+    return F.arrow_udf(run, "string")(text)
+
+
+# White space as the JVM's expressions have it.
+_SPACE = r"[ \t\n\x0B\f\r]"
 
 
 def parsed_distance(text: Column) -> Column:
     """Metres told in a text, by number and unit."""
-    pattern = r"([0-9]+(?:\.[0-9]+)?)\s*(千米|公里|km|KM|米|m|M)"
-    value = F.regexp_extract(text, pattern, 1).try_cast("double")
-    return F.when(F.regexp_extract(text, pattern, 2).isin("千米", "公里", "km", "KM"), value * 1000).otherwise(value)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = pc.extract_regex(texts, rf"(?P<value>[0-9]+(?:\.[0-9]+)?){_SPACE}*(?P<unit>千米|公里|km|KM|米|m|M)")
+        told = pc.struct_field(found, "value").dictionary_encode()
+        value = pa.array(map(float, told.dictionary.to_pylist()), pa.float64()).take(told.indices)
+        far = pc.is_in(pc.struct_field(found, "unit"), value_set=pa.array(["千米", "公里", "km", "KM"]))
+        return pc.if_else(far, pc.multiply(value, 1000.0), value)
+
+    return F.arrow_udf(run, "double")(text)
 
 
 def json_texts(answer: Column) -> Column:
