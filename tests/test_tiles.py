@@ -198,3 +198,14 @@ def test_nearest_pairs_of_all_tiles_leave_the_worker(spark):
     pairs = relations.classed(rows, ways, corners, nearest=5).localCheckpoint()
     kept = relations.selected(pairs, ["distance", "target_id"]).count()
     assert kept > 2000 and pairs.count() < 3 * kept
+
+
+def test_only_the_nearest_at_the_end_leave_the_worker(spark):
+    """Pairs that nearer ones of later blocks displaced left it before."""
+    rng = random.Random(14)
+    rows = [(i, rng.uniform(0, 2000), rng.uniform(0, 2000), int(i % 100 == 0)) for i in range(6000)]
+    ways = spark.createDataFrame([(7, "up", 20.0, [(1200.0, -200.0), (1200.0, 3400.0)])], ROADS)
+    corners = spark.createDataFrame([("c", 1200.0, 300.0)], "name string, x double, y double")
+    pairs = relations.classed(spark.createDataFrame(rows, PLACES), ways, corners, nearest=5)
+    sizes = [r["count"] for r in pairs.groupBy("landmark_id", "topology", "dist_level").count().collect()]
+    assert len(sizes) > 200 and max(sizes) == 5

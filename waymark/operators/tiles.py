@@ -392,17 +392,24 @@ class _Stream:
         self.of_a, self.n = self.net.located(self.a), np.zeros(len(self.a.x), np.int64)
         self.firsts = _Firsts(len(self.a.x) * len(CLASSES) * len(geo.DIST_BANDS), most, np.dtype(float if rank is None else np.uint32))
         self.waiting: list[pa.StructArray] = []
+        self.kept: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
         self.size, self.upto = 0, START
         # Up to here any topology may be; a way over a road is no shorter than the straight one, so none is opposite beyond.
         self.any = 31 + max((w for w in self.net.width.tolist() if w > 0), default=0.0)
 
-    def add(self, targets: pa.StructArray) -> Iterator[pa.RecordBatch]:
+    def add(self, targets: pa.StructArray) -> None:
         self.waiting.append(targets)
         self.size += len(targets)
         if self.size >= self.upto:
-            yield from self.met()
+            self.met()
 
-    def met(self) -> Iterator[pa.RecordBatch]:
+    def done(self) -> Iterator[pa.RecordBatch]:
+        """The pairs that are still among the first at the end."""
+        self.met()
+        for key, rank, rows in self.kept:
+            yield rows.filter(pa.array(rank <= self.firsts.held[key, -1]))
+
+    def met(self) -> None:
         if not self.size:
             return
         other = pa.concat_arrays(self.waiting)
@@ -431,10 +438,12 @@ class _Stream:
                 of_b = self.net.located(b)
             topology, road = _judge(a, b, li, ti, d, corner, self.net, self.of_a, of_b)
             level = np.searchsorted([end for _, end in geo.DIST_BANDS[:-1]], d, side="right")
-            kept = self.firsts.add((li * len(CLASSES) + topology) * len(geo.DIST_BANDS) + level, rank)
+            key = (li * len(CLASSES) + topology) * len(geo.DIST_BANDS) + level
+            kept = self.firsts.add(key, rank)
             if len(kept):
                 columns = _columns(a, b, self.net, li[kept], ti[kept], d[kept], topology[kept], road[kept])
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(kept), pa.int64())], names=[*_COLUMNS, "n"])
+                rows = pa.RecordBatch.from_arrays([*columns, pa.nulls(len(kept), pa.int64())], names=[*_COLUMNS, "n"])
+                self.kept.append((key[kept], rank[kept], rows))
 
     def _asked(self, part: slice, far: np.ndarray, by: np.ndarray, corners: int) -> np.ndarray:
         """Pairs in a band that may be among the first of a topology which they can have."""
@@ -465,7 +474,7 @@ def first(places: DataFrame, roads: DataFrame, radius: float, most: int, rank: C
     """The pairs of ``judged`` that can be among the ``most`` nearest of their landmark, topology and band, and a row for each
     landmark with ``n``, how many targets are within ``radius``, and nulls.
 
-    Of pairs in a band some more come, where ties or the order of blocks leave them in; pairs in no band don't. ``rank``,
+    Of pairs in a band some more come, where ties leave them in; pairs in no band don't. ``rank``,
     as ``by_md5`` gives one, puts another order in the place of the distance: it takes the ids of both sides, and gives a
     function from indexes of pairs to numbers.
     """
@@ -480,13 +489,13 @@ def first(places: DataFrame, roads: DataFrame, radius: float, most: int, rank: C
         for one, ways, *targets in _rows(batches):
             if one is not None:
                 if stream is not None:
-                    yield from stream.met()
+                    yield from stream.done()
                     yield counts(stream)
                 stream = _Stream(one, ways, radius, most, rank)
             else:
-                yield from stream.add(pa.StructArray.from_arrays(targets, ["id", "x", "y", "junction_t"]))
+                stream.add(pa.StructArray.from_arrays(targets, ["id", "x", "y", "junction_t"]))
         if stream is not None:
-            yield from stream.met()
+            yield from stream.done()
             yield counts(stream)
 
     return _streams(places, radius, roads).mapInArrow(run, f"{_schema(places)}, n long")
