@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, lines
 from waymark.operators import relations, tiles
+from waymark.plans import relation_queries
 
 PLACES = "id long, x double, y double, priority int"
 ROADS = "road_id long, name string, width double, points array<struct<x:double,y:double>>"
@@ -209,3 +210,25 @@ def test_only_the_nearest_at_the_end_leave_the_worker(spark):
     pairs = relations.classed(spark.createDataFrame(rows, PLACES), ways, corners, nearest=5)
     sizes = [r["count"] for r in pairs.groupBy("landmark_id", "topology", "dist_level").count().collect()]
     assert len(sizes) > 200 and max(sizes) == 5
+
+
+def test_directions_against_all_pairs(spark, small_blocks):
+    rows = places(random.Random(15), 80)
+    edge = [(5000 + k, 100.0 + 80 * math.sin(math.radians(az)), 50.0 + 80 * math.cos(math.radians(az)), 0) for k, az in enumerate(np.arange(16) * 22.5)]
+    df = spark.createDataFrame([*rows, *edge, (None, 90.0, 50.0, 0), (6000, float("nan"), 5.0, 0)], PLACES)
+    for radius in (60.0, 250.0, 1000.0):
+        got = {r.direction_8: r.n for r in tiles.directed(df, radius).collect()}
+        want = {}
+        for i, j, x, y, u, v, _ in pairs([*rows, *edge], radius):
+            az = math.degrees(math.atan2(u - x, v - y))
+            az += 360 if az < 0 else 0
+            name = next((n for k, n in enumerate(geo.DIRECTIONS_8) if abs(az - 45 * k) <= 22.5 or (k == 0 and az >= 337.5)), None)
+            if (x, y) != (u, v):
+                want[name] = want.get(name, 0) + 1
+        assert got == want and len(got) == 8
+
+
+def test_natural_directions_are_no_rows_of_pairs(spark):
+    """Every pair was a row whose direction came from one oversized method."""
+    plan = relation_queries.sampling_balance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "ATAN2" not in plan.split("== Optimized Logical Plan ==")[1] and "MapInArrow" in plan

@@ -53,13 +53,14 @@ def entropy(counts: DataFrame, column: str) -> DataFrame:
 
 
 def share_shift(ours: DataFrame, natural: DataFrame, column: str) -> DataFrame:
-    """Shares of a class in two tables and their difference."""
+    """Shares of a class in two tables and their difference. ``natural`` may hold classes with their number ``n`` instead."""
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+    def shares(df: DataFrame, name: str, n: Column) -> DataFrame:
+        counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(n.alias("n"))
         return with_scalars(counted, counted.agg(F.sum("n").alias("t"))).select("name", (F.col("n") / F.col("t")).alias(name))
 
-    both = shares(ours, "share").join(shares(natural, "natural_share"), "name")
+    n = F.count("*")
+    both = shares(ours, "share", n).join(shares(natural, "natural_share", F.sum("n") if "n" in natural.columns else n), "name")
     return both.select("name", F.round("share", 6).alias("share"), F.round("natural_share", 6).alias("natural_share"), F.round(F.col("share") - F.col("natural_share"), 6).alias("shift"))
 
 

@@ -135,6 +135,63 @@ def counted(places: DataFrame, radius: float) -> DataFrame:
     return _units(places, radius, [], []).mapInArrow(run, f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+_EDGES = np.radians([22.5, 67.5, 112.5, 157.5])  # of the sectors, and on the other side of the circle
+
+
+def directed(places: DataFrame, radius: float) -> DataFrame:
+    """``(direction_8, n)``: how many pairs of a landmark and a target of another id within ``radius`` are in a direction
+    by ``geo.direction_8``; pairs at one spot have none.
+
+    The line of an edge through a landmark has a target on one side if the target's own distance from that line through
+    the origin is larger, so that two neighbouring edges tell the sector; pairs that rounding may move over an edge are
+    measured as ``geo.azimuth`` does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(geo.DIRECTIONS_8), np.int64)
+        for one, other in _rows(batches):
+            a, b = _Places(one), _Places(other)
+            past_a, past_b = (np.outer(np.cos(_EDGES), p.x) - np.outer(np.sin(_EDGES), p.y) for p in (a, b))
+            unsure = 2.0**-42 * max(np.abs(v).max() for v in (a.x, a.y, b.x, b.y))
+            order, same, step = np.argsort(past_b, axis=1), _same(a, b), max(1, _CHUNK // len(b.x))
+            for at in range(0, len(a.x), step):
+                part = slice(at, at + step)
+                near = _distances(a, b, part) <= radius
+                if same is not None:
+                    near &= ~same[part]
+                asked = []
+                for mine, theirs, by in zip(past_a[:, part], past_b, order, strict=True):
+                    lo, hi = (np.searchsorted(theirs, mine + m, side, sorter=by) for m, side in ((-unsure, "left"), (unsure, "right")))
+                    asked += [np.column_stack([np.full(hi[i] - lo[i], i), by[lo[i] : hi[i]]]) for i in np.flatnonzero(lo < hi)]
+                if asked:
+                    li, ti = np.unique(np.concatenate(asked), axis=0).T
+                    li, ti = li[near[li, ti]], ti[near[li, ti]]
+                    near[li, ti] = False
+                    n += _sectors(b.x[ti] - a.x[li + at], b.y[ti] - a.y[li + at])
+                past = [(theirs > mine[:, None]) & near for mine, theirs in zip(past_a[:, part], past_b, strict=True)]
+                for k in range(4):  # between an edge and the next one, and opposite
+                    one_side, both = np.count_nonzero(past[k]), np.count_nonzero(past[k] & past[(k + 1) % 4])
+                    if k < 3:
+                        n[k + 1] += one_side - both
+                        n[k + 5] += np.count_nonzero(past[k + 1]) - both
+                    else:
+                        n[4] += both
+                        n[0] += np.count_nonzero(near) - one_side - np.count_nonzero(past[0]) + both
+        yield pa.RecordBatch.from_arrays([pa.array(geo.DIRECTIONS_8), pa.array(n)], names=["direction_8", "n"])
+
+    known = places.filter("id is not null").filter(" and ".join(f"abs({v}) < double('Infinity')" for v in "xy"))
+    return _units(known, radius, [], []).mapInArrow(run, "direction_8 string, n long").groupBy("direction_8").agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+def _sectors(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """How many are in each of ``geo.DIRECTIONS_8``: an edge belongs to the sector before it, the last edge to north."""
+    az = np.degrees(np.arctan2(dx, dy))[(dx != 0) | (dy != 0)]
+    az[az < 0] += 360
+    k = np.ceil((az - 22.5) / 45).astype(int)
+    k[(az >= 337.5) | (az <= 22.5)] = 0
+    return np.bincount(k, minlength=len(geo.DIRECTIONS_8))
+
+
 def measured(places: DataFrame, radius: float) -> DataFrame:
     """``(landmark_id, target_id, distance, azimuth)`` of each landmark and every target of another id within ``radius``;
     the azimuth as by ``geo.azimuth``."""

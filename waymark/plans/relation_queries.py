@@ -288,7 +288,7 @@ def relation_entropy(spark, sf):
   round(o.n / (SELECT sum(n) FROM ours) - a.n / (SELECT sum(n) FROM wild), 6) AS shift FROM wild a JOIN ours o USING (name)""")
 def sampling_balance(spark, sf):
     """Shares of kept relations against those in the space of all candidates."""
-    return stats.share_shift(_kept(spark, sf), _pairs(spark, sf), "direction_8")
+    return stats.share_shift(_kept(spark, sf), tiles.directed(tables.pois(spark, sf), rel.RADIUS), "direction_8")
 
 
 @query(f"""{base.RELATIONS}, ranked AS (SELECT landmark_id, target_id, topology, row_number() OVER (PARTITION BY topology ORDER BY distance, landmark_id, target_id) AS n,
